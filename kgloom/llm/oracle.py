@@ -79,4 +79,13 @@ select cui, method, row_id from a where score is not null and not isnan(score) a
 qualify row_number() over (partition by cui, method order by score desc, row_id) <= 5
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND}
+P8_FOUND = r"""
+with q as (select distinct item_id, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') w from
+             (select item_id, question t from qa_items where split in ('test', 'dev') union all select item_id, passage from qa_items where split in ('test', 'dev'))),
+qg as (select distinct item_id, array_to_string(w[i:i + 11], ' ') g from (select item_id, w, unnest(range(1, len(w) - 10)) i from q where len(w) >= 12)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+dg as (select doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from d where len(w) >= 12))
+select distinct doc_id, item_id from dg join qg using (g)
+"""
+
+ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgloom.catalog import table
+from kgloom.catalog import spread, table
 from kgloom.functions.text import normal_cui, normal_form
-from kgloom.llm import components, fusion, survivor, topn
+from kgloom.llm import canonical, components, fusion, leakage, packing, residue, survivor, topn
 
 #: The fields that survive one by one, and the score lists that make one order.
 FIELDS = ("cui", "name", "confidence", "semantic_types")
@@ -110,6 +110,27 @@ def p2_support(spark: SparkSession, d: str) -> DataFrame:
     return hit.join(size, "group_id")
 
 
+# 4: what curators typed, mapped to the vocabulary
+
+
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "umls_concepts")
+    return c.select("cui", F.explode(F.concat(F.array("preferred_name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("name"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    typed = table(spark, d, "final_mappings").filter("origin = 'curator'")
+    m = canonical.map_values(typed, "mapping_id", "entity", _names(spark, d), "cui", "name")
+    return m.select(F.col("id").alias("mapping_id"), F.col("entry").alias("cui"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    """How many typed values were mapped at each distance, and how many name nothing (distance null)."""
+    typed = table(spark, d, "final_mappings").filter("origin = 'curator'")
+    m = canonical.map_values(typed, "mapping_id", "entity", _names(spark, d), "cui", "name")
+    return m.groupBy("distance").agg(F.count("*").alias("n_values"), F.count_distinct("entry").alias("n_concepts"))
+
+
 # 5: one order from scores on different scales
 
 
@@ -145,12 +166,53 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(c.unionByName(a), ["cui", "method"], "score", ["row_id"], 5).select("cui", "method", "row_id")
 
 
+# 7: training windows
+
+
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, piece, start_token, n_tokens, window_id): the window of every document or piece of one."""
+    sizes = packing.token_counts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
+    return packing.pack(sizes, "id", "n_tokens", capacity=2048, tie="h").withColumnRenamed("id", "doc_id")
+
+
+# 8: held-out wording in documents
+
+
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    held_out = table(spark, d, "qa_items").filter("split in ('test', 'dev')")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return leakage.leaks(docs, "doc_id", "text", held_out, "item_id", ["question", "passage"], least=12)
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select(F.col("id").alias("doc_id"), "item_id").distinct()
+
+
+def p8_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Every shared stretch of words, to be cut from the document."""
+    return _leaks(spark, d).withColumnRenamed("id", "doc_id")
+
+
+# 9: residue of templates and machines
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return residue.residue(docs, "doc_id", "text").filter("is_residue").select(F.col("id").alias("doc_id"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_consensus": p1_consensus,
     "p2_found": p2_found,
     "p2_support": p2_support,
+    "p4_found": p4_found,
+    "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_ranking": p5_ranking,
     "p6_found": p6_found,
+    "p7_windows": p7_windows,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
+    "p9_found": p9_found,
 }
