@@ -44,6 +44,19 @@ reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on
 select a mapping_id, least(a, min(b)) group_id from reach group by a
 """
 
+_VECTORS = """
+v0 as (select vec_id, embedding from concept_vectors union select vec_id, embedding from name_vectors),
+v1 as (select vec_id, embedding::double[] e from v0 where embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
+       and len([x for x in embedding if x <> 0]) > 0)
+"""
+
+P3_EXACT = f"""
+with {_VECTORS},
+c as (select a.vec_id, b.vec_id neighbour, list_cosine_similarity(a.e, b.e) cos from v1 a join v1 b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by vec_id order by round(cos, 12) desc, neighbour) rnk from c where cos >= 0.8)
+select vec_id, rnk::int rnk, neighbour, round(cos, 6) cosine from r where rnk <= 10
+"""
+
 _P5_LISTS = f"""
 l as (select mapping_id, cui, list, max(score) s from (
   select mapping_id, {_cui('cui')} cui, method list, score from candidates
@@ -88,4 +101,4 @@ dg as (select doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w
 select distinct doc_id, item_id from dg join qg using (g)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_exact": P3_EXACT, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kgloom.catalog import spread, table
 from kgloom.functions.text import normal_cui, normal_form
-from kgloom.llm import canonical, components, fusion, leakage, packing, residue, survivor, topn
+from kgloom.llm import canonical, components, fusion, leakage, neighbours, packing, residue, survivor, topn
 
 #: The fields that survive one by one, and the score lists that make one order.
 FIELDS = ("cui", "name", "confidence", "semantic_types")
@@ -110,6 +110,34 @@ def p2_support(spark: SparkSession, d: str) -> DataFrame:
     return hit.join(size, "group_id")
 
 
+# 3: the nearest names of every name
+
+
+def _vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "concept_vectors").select("vec_id", "embedding").unionByName(table(spark, d, "name_vectors").select("vec_id", "embedding"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    near = neighbours.neighbours(_vectors(spark, d), "vec_id", "embedding", k=10, least=0.8)
+    p = near.select(F.col("id").alias("i"), F.explode("near.id").alias("j"))
+    return p.select(F.least("i", "j").alias("vec_a"), F.greatest("i", "j").alias("vec_b")).distinct()
+
+
+def p3_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same lists by brute force for every id divisible by 100, against all rows."""
+    near = neighbours.exact_neighbours(_vectors(spark, d), "vec_id", "embedding", "id % 100 = 0", k=10, least=0.8)
+    p = near.select(F.col("id").alias("vec_id"), F.posexplode("near").alias("pos", "x"))
+    return p.select("vec_id", (F.col("pos") + 1).alias("rnk"), F.col("x.id").alias("neighbour"), F.round("x.cosine", 6).alias("cosine"))
+
+
+def p3_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the true neighbours of the ids divisible by 100 the forest finds."""
+    true = p3_exact(spark, d).select("vec_id", "neighbour")
+    near = neighbours.neighbours(_vectors(spark, d), "vec_id", "embedding", k=10, least=0.8).filter("id % 100 = 0")
+    found = near.select(F.col("id").alias("vec_id"), F.explode("near.id").alias("neighbour")).withColumn("hit", F.lit(1))
+    return true.join(found, ["vec_id", "neighbour"], "left").agg(F.count_distinct("vec_id").alias("n_queries"), F.count("*").alias("n_true"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"))
+
+
 # 4: what curators typed, mapped to the vocabulary
 
 
@@ -206,6 +234,9 @@ QUERIES = {
     "p1_consensus": p1_consensus,
     "p2_found": p2_found,
     "p2_support": p2_support,
+    "p3_found": p3_found,
+    "p3_exact": p3_exact,
+    "p3_recall": p3_recall,
     "p4_found": p4_found,
     "p4_report": p4_report,
     "p5_found": p5_found,
