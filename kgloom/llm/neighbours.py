@@ -233,7 +233,7 @@ def clean(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     return rows.mapInArrow(_clean, "id long, key binary, vec binary").dropDuplicates(["id", "key"])
 
 
-def neighbours(vectors: DataFrame, ident: str, vector: str, *, k: int = 10, least: float = 0.8, trees: int = 8, probes: int = 16, leaf: int = 256, sample: int = 32768) -> DataFrame:
+def neighbours(vectors: DataFrame, ident: str, vector: str, *, k: int = 10, least: float = 0.8, trees: int = 8, probes: int = 20, leaf: int = 256, sample: int = 32768) -> DataFrame:
     """(id, near): each vector's list of (id, cosine), best first, ties to the smaller id, at most ``k``, none below ``least``.
 
     Vectors that are null, empty, all zero or hold a null or non-finite number, and
