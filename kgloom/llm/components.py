@@ -19,31 +19,10 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.components import star_components
 from kgloom.scratch import Scratch
 
 
-def _core(edges: DataFrame, s: Scratch) -> DataFrame:
-    """(v, root) of a graph given as (a, b) in both directions, by alternating large and small stars."""
-    e, before = edges, None
-    while True:
-        # Large star: every larger neighbour of u is tied to the least of u and its neighbours.
-        m = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = e.join(m, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("w")).filter("u <> w")
-        # Small star: u and its smaller neighbours are tied to the least of them.
-        small = large.distinct()
-        least = small.groupBy("u").agg(F.min("w").alias("m"))
-        tied = small.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").union(least.select("u", F.col("m").alias("w"))).distinct()
-        now = s.cut(tied)
-        n, check = now.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first()
-        if e is not edges:
-            s.drop(e_table)
-        e_table = now
-        if (n, check) == before:
-            return now.select(F.col("u").alias("v"), F.col("w").alias("root"))
-        before = (n, check)
-        e = now.select(F.col("u").alias("a"), F.col("w").alias("b")).union(now.select(F.col("w").alias("a"), F.col("u").alias("b")))
-
-
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, least_share: float = 0.02, max_rounds: int = 40) -> DataFrame:
     """(v, group) for every vertex that has an edge to another; group is the least vertex of its component.
 
@@ -78,7 +57,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, least_
         removed.append(gone)
         s.drop(cand, e if e is not first else None)
         e = nxt
-    up = _core(e, s) if not e.isEmpty() else e.select(F.col("a").alias("v"), F.col("b").alias("root"))
+    up = star_components(e, s) if not e.isEmpty() else e.select(F.col("a").alias("v"), F.col("b").alias("root"))
     # Every vertex points at a neighbour removed later than itself, or at its root: a forest no deeper than the rounds.
     p = reduce(DataFrame.union, [g.select(F.col("a").alias("v"), F.col("n1").alias("root")) for g in removed], up)
     p = s.cut(p) if removed else p
