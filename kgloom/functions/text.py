@@ -1,7 +1,8 @@
-"""Text normalisation as column expressions."""
+"""Text functions as column expressions; the one without a built-in form is an Arrow UDF."""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +10,16 @@ from pyspark.sql import functions as F
 EDGE = " .,;:()[]{}\"'-"
 #: White space of any kind, no-break spaces included.
 SPACE = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+#: Numerals that become digits when they stand alone, in this order.
+NUMERALS = (("i", "1"), ("ii", "2"), ("iii", "3"), ("iv", "4"), ("v", "5"))
+#: Abbreviations and what they stand for.
+ABBREVIATIONS = {
+    "t2dm": "type 2 diabetes mellitus", "t1dm": "type 1 diabetes mellitus", "dm": "diabetes mellitus", "mi": "myocardial infarction",
+    "copd": "chronic obstructive pulmonary disease", "htn": "hypertension", "chf": "congestive heart failure", "cad": "coronary artery disease",
+    "ckd": "chronic kidney disease", "ra": "rheumatoid arthritis", "oa": "osteoarthritis", "af": "atrial fibrillation", "dvt": "deep vein thrombosis",
+    "pe": "pulmonary embolism", "cva": "cerebrovascular accident", "gerd": "gastroesophageal reflux disease", "ibs": "irritable bowel syndrome",
+    "uti": "urinary tract infection", "hiv": "human immunodeficiency virus", "aids": "acquired immunodeficiency syndrome",
+}
 
 
 def normal_form(c: Column) -> Column:
@@ -19,3 +30,86 @@ def normal_form(c: Column) -> Column:
 def normal_cui(c: Column) -> Column:
     """Trimmed of blanks, upper case; null stays null."""
     return F.upper(F.btrim(c))
+
+
+def phrase(c: Column) -> Column:
+    """Lower case, everything but ASCII letters, digits and blanks as a blank, ends trimmed; inner blanks stay."""
+    return F.btrim(F.regexp_replace(F.lower(c.cast("string")), "[^A-Za-z0-9 ]", " "))
+
+
+def name(c: Column) -> Column:
+    """Lower case, lone numerals as digits, white space collapsed, edge punctuation off."""
+    x = F.concat(F.lit(" "), F.lower(c), F.lit(" "))
+    for roman, digit in NUMERALS:
+        x = F.replace(x, F.lit(f" {roman} "), F.lit(f" {digit} "))
+    return F.btrim(F.btrim(F.regexp_replace(x, SPACE, " ")), F.lit(EDGE.strip()))
+
+
+def words(c: Column) -> Column:
+    """Tokens between white space, none empty."""
+    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+
+
+def expand(c: Column, mapping: dict[str, str] = ABBREVIATIONS) -> Column:
+    """Each word that is an abbreviation replaced by what it stands for; words in lower case, one blank between."""
+    m = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
+    return F.array_join(F.transform(words(F.lower(c)), lambda w: F.coalesce(F.try_element_at(m, w), w)), " ")
+
+
+def answer(c: Column) -> Column:
+    """Lower case, ASCII punctuation deleted, articles dropped, white space collapsed."""
+    x = F.regexp_replace(F.lower(c), r"[!-/:-@\[-`{-~]", "")
+    x = F.regexp_replace(x, r"\b(a|an|the)\b", " ")
+    return F.btrim(F.regexp_replace(x, r"\s+", " "))
+
+
+def extract_answer(c: Column) -> Column:
+    """What follows the first 'Answer:' where there is an 'Answer: ', else all of it."""
+    return F.when(F.instr(c, "Answer: ") > 0, F.btrim(F.split(c, "Answer:")[1])).otherwise(c)
+
+
+def token_jaccard(a: Column, b: Column) -> Column:
+    """Shared over all distinct lower-case words; null if neither has any."""
+    x, y = F.array_distinct(words(F.lower(a))), F.array_distinct(words(F.lower(b)))
+    return F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.size(F.array_union(x, y)))
+
+
+def containment(a: Column, keys: Column) -> Column:
+    """Share of the distinct words of ``a`` that are in ``keys``."""
+    x = F.array_distinct(words(F.lower(a)))
+    return F.try_divide(F.size(F.array_intersect(x, keys)).cast("double"), F.size(x))
+
+
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance over the longer length, without case; 1 for two empty texts."""
+    x, y = F.lower(a), F.lower(b)
+    longest = F.greatest(F.length(x), F.length(y))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(1 - F.levenshtein(x, y) / longest)
+
+
+def ngrams(c: Column, n: int = 3) -> Column:
+    """Character n-grams of the lower-case text with white space collapsed; none if it is shorter than ``n``."""
+    x = F.regexp_replace(F.lower(c), r"\s+", " ")
+    return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def json_object(c: Column) -> Column:
+    """The first JSON object within a text, braces nested up to four deep, as JSON text; null if it does not parse."""
+    inner = r"[^{}]*"
+    for _ in range(3):
+        inner = r"(?:[^{}]|\{" + inner + r"\})*"
+    found = F.regexp_extract(c, r"\{" + inner + r"\}", 0)
+    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+
+
+@F.pandas_udf("double")
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Ratcliff-Obershelp ratio of two lower-case texts; null if either is null."""
+    from difflib import SequenceMatcher
+
+    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def lookup_key(c: Column) -> Column:
+    """The key under which names are looked up: normalised, then abbreviations expanded."""
+    return expand(name(c))
