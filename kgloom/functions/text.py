@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Fixed value: characters taken off both ends of a name.
 EDGE = " .,;:()[]{}\"'-"
@@ -102,7 +103,7 @@ def json_object(c: Column) -> Column:
     return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two lower-case texts; null if either is null."""
     from difflib import SequenceMatcher

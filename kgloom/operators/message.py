@@ -95,6 +95,7 @@ def bellman_ford(edges: DataFrame, boundary: DataFrame, rel: DataFrame, layers:
     Each layer is written, so that a lost executor costs one layer and plans stay short.
     """
     s = Scratch(edges.sparkSession, "layers")
+    edges, boundary = s.cut(edges), s.cut(boundary)
     x, old = boundary, None
     d = dims(boundary)
     for _ in range(layers):
