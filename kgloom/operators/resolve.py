@@ -115,12 +115,6 @@ def neighbour_types(near: DataFrame, types: DataFrame, k: int = 5) -> DataFrame:
     return y.select("query", "b.type", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.6 * F.col("top") + 0.4 * F.col("b.n") / k)).alias("confidence"))
 
 
-def token_pairs(entities: DataFrame) -> DataFrame:
-    """(a, b): entities that share a word, a < b. Ids of a word are paired in order; a word's own list never leaves the join."""
-    t = entities.select("id", F.explode(F.array_distinct(words(F.lower("name")))).alias("t"))
-    return t.withColumnRenamed("id", "a").join(t.withColumnRenamed("id", "b"), "t").filter("a < b").select("a", "b").distinct()
-
-
 def block(sure: DataFrame, same: DataFrame, other: DataFrame, names: DataFrame, tau: float) -> DataFrame:
     """(a, b, similarity): candidates of all searches, unordered and once, at or above ``tau``, sharing a word.
 
