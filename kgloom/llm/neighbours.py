@@ -151,7 +151,8 @@ def _best(a: np.ndarray, a_id: np.ndarray, b: np.ndarray, b_id: np.ndarray, near
     r, c = np.repeat(np.arange(len(near)), m), pick.ravel()
     ok = (near[r, c] >= least - SLACK) & (a_id[r] != b_id[c])
     r, c = r[ok], c[ok]
-    cos = (a[r] * b[c]).sum(axis=1)
+    # Parallel vectors tie whatever the last bit of their lengths does.
+    cos = np.round((a[r] * b[c]).sum(axis=1), 12)
     ok = cos >= least
     r, c, cos = r[ok], c[ok], cos[ok]
     o = np.lexsort((b_id[c], -cos, r))
