@@ -15,8 +15,11 @@ def spread(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
     File splits follow bytes; where a row is tokenised or indexed in Python one
     small file would become one long task. Rows go round over at least as many
-    partitions as the cluster has cores; with ``columns`` they go by hash.
+    partitions as the cluster has cores; with ``columns`` they go by hash. A scan
+    that has enough partitions is left as it is, so a large table is not shuffled.
     """
     spark = df.sparkSession
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    if not columns and df.rdd.getNumPartitions() >= n:
+        return df
     return df.repartition(n, *columns) if columns else df.repartition(n)
