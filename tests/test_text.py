@@ -59,3 +59,23 @@ def test_score_coercion():
     cases = [({"content": "x", "score": 0.85}, 0.85), ({"text": "x", "similarity": 0.9}, 0.9), ("plain", 0.0), ({}, 0.0), (None, 0.0), ([{"relevance_score": 1}], 1.0)]
     for raw, want in cases:
         assert coerce_score(raw) == want
+
+
+def test_sequence_ratio(spark):
+    from difflib import SequenceMatcher
+
+    df = spark.createDataFrame([("Abcd", "bcde"), ("", ""), (None, "x")], "a string, b string")
+    got = [r.r for r in df.select(text.sequence_ratio("a", "b").alias("r")).collect()]
+    assert got == [SequenceMatcher(None, "abcd", "bcde").ratio(), 1.0, None]
+
+
+def test_hard_negatives_penalise_both(spark):
+    from kgloom.operators import vocab
+
+    c = spark.createDataFrame([("e", "A", "renal failure", 0.9, 1), ("e", "B", "renal failures", 0.8, 2), ("e", "C", "zzz", 0.7, 3)], "entity string, cui string, name string, score double, rnk int")
+    k = spark.createDataFrame([("A", ["Cell"]), ("B", None), ("C", ["Cell"])], "cui string, semantic_types array<string>")
+    got = {r.cui: r.penalty for r in vocab.hard_negatives(c, k, mode="script").collect()}
+    assert got == {"A": 0.05, "B": 0.05, "C": 0.0}
+    sim = 2 * 13 / 27
+    got = {r.cui: (r.score, r.penalty) for r in vocab.hard_negatives(c, k).collect()}
+    assert abs(got["A"][1] - (sim - 0.7) / 2) < 1e-8 and abs(got["C"][0] - (0.49 + 0.2)) < 1e-8
