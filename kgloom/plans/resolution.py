@@ -188,6 +188,6 @@ def maxsim(spark, d):
 
 @query("cell_search")
 def cell_search(spark, d):
-    """Inverted-file search; its recall against the exact search is tested."""
+    """Inverted-file search; its recall against the exact search is tested on this table."""
     e = entities(spark, d).select("id", "vec")
-    return linking.cell_search(e, e, 10, probes=8)
+    return linking.cell_search(e, e, 10)
