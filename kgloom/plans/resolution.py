@@ -166,16 +166,32 @@ def capped_neighbours(spark, d):
     return _out(construct.capped_neighbours(s, 3, 0.3))
 
 
-@query("token_overlap_pairs", "with t as (select cui, unnest(list_distinct(string_split_regex(lower(preferred_name), '\\s+'))) w from umls_concepts), r as (select w from t group by w having count(*) <= 50) select distinct a.cui a, b.cui b from t a join t b using (w) join r using (w) where a.cui < b.cui")
-def token_overlap_pairs(spark, d):
-    """Concepts that share a telling word, one that at most fifty have; other words tell nothing and block nothing."""
+def _concept_words(spark, d):
     from kgloom.functions.text import words
 
-    t = table(spark, d, "umls_concepts").select("cui", F.explode(F.array_distinct(words(F.lower("preferred_name")))).alias("w"))
+    return table(spark, d, "umls_concepts").select("cui", F.explode(F.array_distinct(words(F.lower("preferred_name")))).alias("w"))
+
+
+@query("token_overlap_pairs", "with t as (select cui, unnest(list_distinct(string_split_regex(lower(preferred_name), '\\s+'))) w from umls_concepts), r as (select w from t group by w having count(*) <= 50) select distinct a.cui a, b.cui b from t a join t b using (w) join r using (w) where a.cui < b.cui")
+def token_overlap_pairs(spark, d):
+    """Pairs of concepts that share a word which at most fifty have; :func:`token_overlap_groups` has the other words."""
+    t = _concept_words(spark, d)
     t = t.join(t.groupBy("w").agg(F.count("*").alias("n")).filter("n <= 50").select("w"), "w")
     return t.withColumnRenamed("cui", "a").join(t.withColumnRenamed("cui", "b"), "w").filter("a < b").select("a", "b").distinct()
 
 
+@query("token_overlap_groups", "with t as (select cui, unnest(list_distinct(string_split_regex(lower(preferred_name), '\\s+'))) w from umls_concepts), r as (select w, count(*) n from t where w <> '' group by w having count(*) > 50) select w, cui, n - 1 links from t join r using (w)")
+def token_overlap_groups(spark, d):
+    """(w, cui, links): each concept with each word that more than fifty have; all with a word overlap, and links says with how many others.
+
+    Two concepts share a word if and only if :func:`token_overlap_pairs` has the pair
+    or they meet in a group here. A group is as long as its concepts, not as their pairs.
+    """
+    t = _concept_words(spark, d)
+    n = t.groupBy("w").agg(F.count("*").alias("n")).filter("n > 50")
+    return t.join(n, "w").select("w", "cui", (F.col("n") - 1).alias("links"))
+
+
 @query("maxsim", """with p as (select a.vec_id a, b.vec_id b, a.embedding::double[] x, b.embedding::double[] y from embeddings a join embeddings b on b.vec_id = a.vec_id + 1),
 t as (select a, b, [x[1:16], x[17:32], x[33:48], x[49:64]] x, [y[1:16], y[17:32], y[33:48], y[49:64]] y from p),
 s as (select a, b, list_sum([list_max([list_dot_product(u, w) for w in y]) for u in x]) / 4 f, list_sum([list_max([list_dot_product(u, w) for w in x]) for u in y]) / 4 g from t)

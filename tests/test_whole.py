@@ -18,3 +18,26 @@ def test_cell_search_recall_on_the_embeddings(spark, size):
     recall = len(exact & found) / len(exact)
     print(f"recall {size}: {recall:.3f} of {len(exact)}")
     assert recall >= 0.9
+
+
+@needs_data
+def test_token_overlap_loses_no_pair(spark):
+    from collections import Counter
+    from itertools import combinations
+
+    from kgloom.catalog import table
+    from kgloom.plans import resolution
+
+    d = f"{DATA}/sf0.01"
+    words = {r.cui: set((r.preferred_name or "").lower().split()) for r in table(spark, d, "umls_concepts").collect()}
+    share = {(a, b) for a, b in combinations(sorted(words), 2) if words[a] & words[b]}
+    pairs = {(r.a, r.b) for r in resolution.token_overlap_pairs(spark, d).collect()}
+    rows = resolution.token_overlap_groups(spark, d).collect()
+    groups: dict[str, list] = {}
+    for r in rows:
+        groups.setdefault(r.w, []).append(r.cui)
+    met = {p for g in groups.values() for p in combinations(sorted(g), 2)}
+    have = Counter(w for ws in words.values() for w in ws)
+    print(f"{len(share)} pairs share a word, {len(pairs)} as pairs, {len(rows)} rows in {len(groups)} groups")
+    assert pairs < share and pairs | met == share
+    assert all(r.links == have[r.w] - 1 >= 50 for r in rows)
