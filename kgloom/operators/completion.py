@@ -30,18 +30,41 @@ def strict_negatives(edges: DataFrame, queries: DataFrame, nodes: DataFrame) ->
     return all_.join(edges.select("src", "rel", "dst"), ["src", "rel", "dst"], "left_anti").select("src", "rel", "dst")
 
 
-def sample_negatives(edges: DataFrame, n_nodes: int, per_edge: int, seed: int = 0, *, tries: int = 4) -> DataFrame:
-    """(src, rel, dst, slot, neg): ``per_edge`` corrupted tails of each edge, none a true one, drawn by a seeded hash.
-
-    Nodes are 0..n_nodes-1. Each slot draws ``tries`` nodes and keeps the first that
-    is not a true tail, so no list of nodes is joined; a slot whose draws are all true
-    has no row.
-    """
+def _corrupted(positives: DataFrame, edges: DataFrame, given: str, asked: str, n_nodes: int, per_edge: int, seed: int, tries: int) -> DataFrame:
+    """(src, rel, dst, slot, neg): nodes that with ``given`` and rel make no edge, for each slot of ``positives``."""
+    group, slot = [given, "rel"], ["src", "rel", "dst", "slot"]
     slots = F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1))).alias("slot")
-    x = edges.select("src", "rel", "dst", slots).select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
+    x = positives.select("src", "rel", "dst", slots).select("*", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("t"))
     x = x.withColumn("neg", F.pmod(F.xxhash64("src", "rel", "dst", "slot", "t", F.lit(seed)), F.lit(n_nodes)))
-    ok = x.join(edges.select("src", "rel", F.col("dst").alias("neg")).distinct(), ["src", "rel", "neg"], "left_anti")
-    return ok.groupBy("src", "rel", "dst", "slot").agg(F.min_by("neg", "t").alias("neg"))
+    true = edges.select(*group, F.col(asked).alias("neg")).distinct()
+    drawn = x.join(true.withColumn("true", F.lit(True)), [*group, "neg"], "left").groupBy(*slot).agg(F.min_by("neg", F.when(F.col("true").isNull(), F.col("t"))).alias("neg"))
+    # Where all draws are true: the r-th node of the complement is r plus the true nodes t_0 < t_1 < ... with t_i - i <= r.
+    missed = drawn.filter("neg is null").drop("neg")
+    taken = true.filter(F.col("neg").between(0, n_nodes - 1)).join(missed.select(*group).distinct(), group, "left_semi")
+    free = taken.groupBy(*group).agg((F.lit(n_nodes) - F.count("*")).alias("free")).filter("free > 0")
+    ranked = missed.join(free, group).withColumn("r", F.pmod(F.xxhash64(*slot, F.lit(tries), F.lit(seed)), F.col("free"))).withColumn("is_true", F.lit(0)).drop("free")
+    below = F.row_number().over(Window.partitionBy(*group).orderBy("neg")) - 1
+    marks = taken.select(*group, (F.col("neg") - below).alias("r"), F.lit(1).alias("is_true"))
+    before = F.sum("is_true").over(Window.partitionBy(*group).orderBy("r", F.desc("is_true")).rowsBetween(Window.unboundedPreceding, 0))
+    exact = ranked.unionByName(marks, allowMissingColumns=True).withColumn("neg", F.col("r") + before).filter("is_true = 0")
+    return drawn.filter("neg is not null").unionByName(exact.select(*slot, "neg"))
+
+
+def sample_negatives(edges: DataFrame, n_nodes: int, per_edge: int, seed: int = 0, *, tries: int = 4, n_heads: int | None = None) -> DataFrame:
+    """(src, rel, dst, slot, neg, head_side): ``per_edge`` corruptions of each edge, none a true edge, drawn by a seeded hash.
+
+    Tails are 0..n_nodes-1. With ``n_heads``, heads are 0..n_heads-1, and for about half
+    of the edges, chosen by a seeded hash, ``neg`` stands for the head (head_side). Each slot
+    draws ``tries`` nodes and keeps the first that is not true, so no list of nodes is
+    joined; where all are true it takes a node of the complement by rank, which sorts the
+    true nodes of that group alone. Only where every node is true has a slot no row.
+    """
+    if n_heads is None:
+        return _corrupted(edges, edges, "src", "dst", n_nodes, per_edge, seed, tries).withColumn("head_side", F.lit(False))
+    head = F.pmod(F.xxhash64("src", "rel", "dst", F.lit("side"), F.lit(seed)), F.lit(2)) == 1
+    t = _corrupted(edges.filter(~head), edges, "src", "dst", n_nodes, per_edge, seed, tries).withColumn("head_side", F.lit(False))
+    h = _corrupted(edges.filter(head), edges, "dst", "src", n_heads, per_edge, seed, tries).withColumn("head_side", F.lit(True))
+    return t.unionByName(h)
 
 
 def tail_form(triples: DataFrame, n_relations: int, corrupted_head: str = "head_side") -> DataFrame:

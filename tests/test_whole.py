@@ -41,3 +41,31 @@ def test_token_overlap_loses_no_pair(spark):
     print(f"{len(share)} pairs share a word, {len(pairs)} as pairs, {len(rows)} rows in {len(groups)} groups")
     assert pairs < share and pairs | met == share
     assert all(r.links == have[r.w] - 1 >= 50 for r in rows)
+
+
+def test_negatives_of_a_hub_are_all_drawn(spark):
+    from kgloom.operators import completion
+
+    n = 50
+    tails = {0: set(range(n)) - {3, 17, 31, 48}, 1: set(range(n - 1)), 2: set(range(n)), 3: {5, 60}}
+    e = [(s, 0, t) for s, ts in tails.items() for t in ts]
+    got = completion.sample_negatives(spark.createDataFrame(e, "src long, rel long, dst long"), n, 6, seed=1).collect()
+    assert len({(r.src, r.dst, r.slot) for r in got}) == len(got) == 6 * sum(len(tails[s]) for s in (0, 1, 3))
+    assert all(r.neg not in tails[r.src] and 0 <= r.neg < n for r in got)
+    counts = [sum(r.src == 0 and r.neg == f for r in got) for f in (3, 17, 31, 48)]
+    assert sum(counts) == 6 * 46 and min(counts) > 40
+
+
+def test_negatives_of_both_sides(spark):
+    from kgloom.operators import completion
+
+    e = [(s, r, t) for s in range(40) for r in (0, 1) for t in range(20) if (s + t + r) % 9 or t == 4]  # tail 4 has every head
+    E = spark.createDataFrame(e, "src long, rel long, dst long")
+    got, true = completion.sample_negatives(E, 20, 3, seed=5, n_heads=40).collect(), set(e)
+    heads = {(r.src, r.rel, r.dst) for r in got if r.head_side}
+    tails = {(r.src, r.rel, r.dst) for r in got if not r.head_side}
+    assert not heads & tails and abs(len(heads) / len(true) - 0.5) < 0.1
+    assert all(0 <= r.neg < 40 and (r.neg, r.rel, r.dst) not in true for r in got if r.head_side)
+    assert all(0 <= r.neg < 20 and (r.src, r.rel, r.neg) not in true for r in got if not r.head_side)
+    assert all(t == 4 for _, _, t in true - heads - tails)  # the head of such an edge has no negative
+    assert len(got) == 3 * (len(heads) + len(tails))
