@@ -259,6 +259,14 @@ def neg_candidates(spark, d):
     return completion.negative_counts(e, e, star.nodes(e).count())
 
 
+@query("neg_head_candidates", f"with {star.EDGES} select rel, dst, (select count(*) from nodes) - count(*) n_negatives from edges group by rel, dst")
+def neg_head_candidates(spark, d):
+    """The head side of :func:`neg_candidates`: for every edge's relation and tail, how many nodes are not true heads."""
+    e = star.edges(spark, d)
+    turned = e.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
+    return completion.negative_counts(turned, turned, star.nodes(e).count()).select("rel", F.col("src").alias("dst"), "n_negatives")
+
+
 @query("all_negative", f"with {star.EDGES}, q as (select distinct src, rel from edges where rel = 2) select q.src, q.rel, node dst from q, nodes where (q.src, q.rel, node) not in (select src, rel, dst from edges)")
 def all_negative(spark, d):
     e = star.edges(spark, d)

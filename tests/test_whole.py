@@ -69,3 +69,17 @@ def test_negatives_of_both_sides(spark):
     assert all(0 <= r.neg < 20 and (r.src, r.rel, r.neg) not in true for r in got if not r.head_side)
     assert all(t == 4 for _, _, t in true - heads - tails)  # the head of such an edge has no negative
     assert len(got) == 3 * (len(heads) + len(tails))
+
+
+@needs_data
+def test_head_side_counts_cover_every_edge(spark):
+    from kgloom.plans import graph, star
+
+    d = f"{DATA}/sf0.001"
+    e = {(r.src, r.rel, r.dst) for r in star.edges(spark, d).collect()}
+    nodes = {x for s, _, t in e for x in (s, t)}
+    true: dict[tuple, set] = {}
+    for s, r, t in e:
+        true.setdefault((r, t), set()).add(s)
+    got = {(r.rel, r.dst): r.n_negatives for r in graph.neg_head_candidates(spark, d).collect()}
+    assert got == {k: len(nodes - v) for k, v in true.items()}
