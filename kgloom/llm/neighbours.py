@@ -32,6 +32,8 @@ from kgloom.scratch import Scratch
 
 #: Single precision misses a cosine by less than this.
 SLACK = 1e-4
+#: At most about so many candidates are reranked at a time.
+PICKS = 100_000
 
 
 def _matrix(col: pa.Array, dim: int) -> np.ndarray:
@@ -145,11 +147,16 @@ def _route(forest, probes: int, blocks: np.ndarray, dim: int):
 
 
 def _best(a: np.ndarray, a_id: np.ndarray, b: np.ndarray, b_id: np.ndarray, near: np.ndarray, k: int, least: float):
-    """(row of a, id of b, cosine) of the best k of each row: picked by ``near``, reranked exactly."""
+    """(row of a, id of b, cosine) of the best k of each row: picked by ``near`` with all that tie at the edge, reranked exactly."""
     m = min(k + 6, near.shape[1])
-    pick = np.argpartition(-near, m - 1, axis=1)[:, :m]
-    r, c = np.repeat(np.arange(len(near)), m), pick.ravel()
-    ok = (near[r, c] >= least - SLACK) & (a_id[r] != b_id[c])
+    floor = -np.partition(-near, m - 1, axis=1)[:, m - 1]
+    pick = near >= (np.fmax(floor, least) - SLACK)[:, None]
+    if len(near) > 1 and np.count_nonzero(pick) > max(PICKS, m * len(near)):  # copies: all pairs of a cell may tie
+        h = len(near) // 2
+        x, y = _best(a[:h], a_id[:h], b, b_id, near[:h], k, least), _best(a[h:], a_id[h:], b, b_id, near[h:], k, least)
+        return np.concatenate([x[0], y[0] + h]), np.concatenate([x[1], y[1]]), np.concatenate([x[2], y[2]])
+    r, c = np.nonzero(pick)
+    ok = a_id[r] != b_id[c]
     r, c = r[ok], c[ok]
     # Parallel vectors tie whatever the last bit of their lengths does.
     cos = np.round((a[r] * b[c]).sum(axis=1), 12)

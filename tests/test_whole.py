@@ -83,3 +83,23 @@ def test_head_side_counts_cover_every_edge(spark):
         true.setdefault((r, t), set()).add(s)
     got = {(r.rel, r.dst): r.n_negatives for r in graph.neg_head_candidates(spark, d).collect()}
     assert got == {k: len(nodes - v) for k, v in true.items()}
+
+
+def test_ties_at_the_edge_of_the_pick_are_kept():
+    import numpy as np
+
+    from kgloom.llm.neighbours import _best
+
+    rng = np.random.default_rng(2)
+    q = np.eye(8)[:1]
+    nearer = q + 0.01 * np.arange(1, 9)[:, None] * np.eye(8)[1:2]
+    b = np.concatenate([nearer, np.repeat(q + 0.5 * np.eye(8)[2:3], 11, axis=0)])
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    for _ in range(50):
+        ids, o = np.arange(1, 20), rng.permutation(19)
+        near = (q @ b[o].T).astype(np.float32)
+        many = np.repeat(q, 12_000, axis=0)  # more candidates than are reranked at a time
+        r, got, _ = _best(q, np.array([0]), b[o], ids[o], near, 10, -1.0)
+        assert got.tolist() == list(range(1, 11))
+    r, got, _ = _best(many, np.zeros(len(many), int), b[o], ids[o], np.repeat(near, len(many), axis=0), 10, -1.0)
+    assert r.tolist() == np.repeat(np.arange(len(many)), 10).tolist() and (got.reshape(-1, 10) == np.arange(1, 11)).all()
