@@ -102,12 +102,12 @@ def parts(value: str | None) -> tuple[list[str], str]:
     return core, "+".join(sorted(found))
 
 
-def keys(value: str | None) -> tuple[list[str], str]:
-    """Run-together keys of a value, in the orders in which its words may stand, and its qualifiers."""
+def keys(value: str | None, most: int | None = None) -> tuple[list[str], str]:
+    """Run-together keys of a value, one for each rotation of its words, at most ``most`` of them, and its qualifiers."""
     core, q = parts(value)
     if not core:
         return [], q
-    turns = ["".join(core[i:] + core[:i]) for i in range(min(len(core), 4))]
+    turns = ["".join(core[i:] + core[:i]) for i in range(len(core) if most is None else min(len(core), most))]
     return list(dict.fromkeys(turns)), q
 
 
@@ -196,7 +196,7 @@ def tolerance(n: int) -> int:
 
 
 def forest(entries: list[tuple[str, str]]) -> dict[str, BKTree]:
-    """A tree for each set of qualifiers, holding every order of a name's words."""
+    """A tree for each set of qualifiers, holding every rotation of a name's words."""
     pairs: dict[str, list[tuple[str, str]]] = {}
     for entry, name in entries:
         turns, q = keys(name)
@@ -209,7 +209,7 @@ def _search(trees: dict[str, BKTree]):
         for f in frames:
             asked: dict[str, list[tuple[str, str]]] = {}
             for v in f["v"]:
-                turns, q = keys(v)
+                turns, q = keys(v, 1)  # a typed value is looked up as it stands
                 if turns and q in trees:
                     asked.setdefault(q, []).append((v, turns[0]))
             out = []

@@ -103,3 +103,15 @@ def test_ties_at_the_edge_of_the_pick_are_kept():
         assert got.tolist() == list(range(1, 11))
     r, got, _ = _best(many, np.zeros(len(many), int), b[o], ids[o], np.repeat(near, len(many), axis=0), 10, -1.0)
     assert r.tolist() == np.repeat(np.arange(len(many)), 10).tolist() and (got.reshape(-1, 10) == np.arange(1, 11)).all()
+
+
+def test_inversion_of_a_long_name_is_found(spark):
+    from kgloom.llm import canonical
+
+    name = "velosic marbanum tirogen palsoric dunimeria korvasol"
+    ref = spark.createDataFrame([("C1", name), ("C2", "velosic marbanum")], "cui string, name string")
+    w = name.split()
+    typed = [f"{' '.join(w[i:])}, {' '.join(w[:i])}" for i in range(1, len(w))]
+    df = spark.createDataFrame(list(enumerate(typed)), "id long, v string")
+    got = {r.id: r.entry for r in canonical.map_values(df, "id", "v", ref, "cui", "name").collect()}
+    assert got == dict.fromkeys(range(len(typed)), "C1")
