@@ -30,6 +30,26 @@ select group_id, field_name, mapping_id source_id from f join g using (form)
 qualify row_number() over (partition by group_id, field_name order by trust desc nulls last, updated_at desc nulls last, mapping_id) = 1
 """
 
+P1_PAIRS = f"""
+with m as (select distinct mapping_id, {_form('entity')} form, cui, name, confidence, semantic_types, run_id, updated_at
+           from final_mappings where origin = 'pipeline'),
+r as (select m.*, t.trust, u.cui is not null known, coalesce(regexp_replace(name, '{_SPACE}', '', 'g') <> '', false) named,
+             coalesce(confidence between 0 and 1, false) sure, coalesce(len(semantic_types) > 0, false) typed from m
+      left join (select distinct run_id, trust from mapping_runs) t on m.run_id = t.run_id
+      left join (select distinct cui from umls_concepts) u on m.cui = u.cui where form <> ''),
+g as (select form, min(mapping_id) group_id from r group by form having count(distinct mapping_id) > 1),
+v as (select *, (10 + greatest(0, least(coalesce(trust, 0), 100))) * (known::int + named::int + sure::int + typed::int + 1)
+             * (100 + coalesce(floor(greatest(0, least(epoch_us(updated_at), 4000000000000000)) / 2592000000000.0), 0)) votes from r),
+f as (select form, mapping_id, trust, updated_at, votes, 'cui' field_name, [cui] tokens from v where known
+      union all select form, mapping_id, trust, updated_at, votes, 'name', list_filter(regexp_split_to_array(name, '\\s+'), lambda x: x <> '') from v where named
+      union all select form, mapping_id, trust, updated_at, votes, 'confidence', [confidence::varchar] from v where sure
+      union all select form, mapping_id, trust, updated_at, votes, 'semantic_types', list_transform(semantic_types, lambda x: '=' || coalesce(x, '')) from v where typed),
+o as (select *, row_number() over (partition by form, field_name order by trust desc nulls last, updated_at desc nulls last, mapping_id) ord from f),
+s as (select form, field_name, tokens, sum(votes) w, min(ord) ord, arg_min(mapping_id, ord) source_id from o group by all),
+b as (select form, field_name, count(*) n_values, arg_max(source_id, (w, -ord)) source_id from s group by all)
+select group_id, field_name, source_id, n_values from b join g using (form) where n_values <= 2 or field_name in ('cui', 'confidence')
+"""
+
 P2_FOUND = f"""
 with recursive m as (select distinct mapping_id, {_form('entity')} form, cluster_members from final_mappings where origin = 'pipeline'),
 mem as (select mapping_id, {_form('e')} form from (select mapping_id, unnest(cluster_members) e from m)),
@@ -85,6 +105,14 @@ p as (select mapping_id, cui, round(exp((5 - count(*)) * 0.2 * ln(0.01) + sum(0.
 select mapping_id, cui, fused, row_number() over (partition by mapping_id order by fused desc, cui)::int rnk from p
 """
 
+P5_AGREEMENT = f"""
+{P5_RANKING.replace('select mapping_id, cui, fused, row_number()', ', r as (select mapping_id, cui, fused, row_number()', 1).rstrip()}),
+w as ({P5_FOUND}),
+n as (select mapping_id from r group by mapping_id having count(*) > 1)
+select count(*) n_mappings, count(w.cui) n_winners, count(*) filter (w.cui = r.cui) n_same
+from n join r on n.mapping_id = r.mapping_id and r.rnk = 1 left join w on w.mapping_id = n.mapping_id
+"""
+
 P6_FOUND = f"""
 with a as (select {_cui('cui')} cui, method, cand_id row_id, score from candidates
            union select {_cui('cui')}, method, agg_id, score from aggregated_candidates)
@@ -101,4 +129,4 @@ dg as (select doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w
 select distinct doc_id, item_id from dg join qg using (g)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p2_found": P2_FOUND, "p3_exact": P3_EXACT, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+ORACLES = {"p1_found": P1_FOUND, "p1_pairs": P1_PAIRS, "p5_agreement": P5_AGREEMENT, "p2_found": P2_FOUND, "p3_exact": P3_EXACT, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

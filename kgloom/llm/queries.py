@@ -48,7 +48,11 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
         F.when(when.isNull(), F.lit("0" * 21)).otherwise(F.concat(F.lit("1"), digits(shift(when), 20))),
         digits(F.lit(2 * 10**18).cast("decimal(20,0)") - F.col("mapping_id").cast("decimal(20,0)"), 20),
     )
-    return m.select("mapping_id", "form", rank.alias("rank"), F.explode(F.filter(usable, lambda x: x.isNotNull())).alias("u")).select("mapping_id", "form", "rank", "u.field_name", "u.tokens")
+    u = F.filter(usable, lambda x: x.isNotNull())
+    # A row's votes: trust of its run, times its usable fields, times a part that grows with its time.
+    months = F.coalesce(F.floor(F.greatest(F.lit(0), F.least(when, F.lit(4 * 10**15))) / F.lit(30 * 86_400_000_000)), F.lit(0))
+    votes = (F.lit(10) + F.greatest(F.lit(0), F.least(F.coalesce("trust", F.lit(0)), F.lit(100)))) * (F.size(u) + 1) * (100 + months)
+    return m.select("mapping_id", "form", rank.alias("rank"), votes.cast("long").alias("votes"), F.explode(u).alias("u")).select("mapping_id", "form", "rank", "votes", "u.field_name", "u.tokens")
 
 
 def normal_blank(c):
@@ -64,18 +68,26 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    """Field by field, the record whose value survives: a consensus in which the best-ranked voter of a column decides it."""
-    best = survivor.survivors(_fields(spark, d), ["form", "field_name"], "tokens", "rank", F.col("rank"), "mapping_id", vote="max")
+    """Field by field, the record whose value survives: a consensus under a strict order of trust, time and identifier."""
+    best = survivor.survivors(_fields(spark, d), ["form", "field_name"], "tokens", None, F.col("rank"), "mapping_id", vote="strict")
     return best.join(_groups(spark, d), "form").select("group_id", "field_name", F.col("mapping_id").alias("source_id"))
 
 
 def p1_consensus(spark: SparkSession, d: str) -> DataFrame:
-    """The existing name and types nearest what the rows of a group, each weighted by its confidence, agree on word by word."""
-    conf = _pipeline(spark, d).select(F.col("mapping_id").alias("m"), "confidence").filter("confidence between 0 and 1").groupBy("m").agg(F.max("confidence").alias("c"))
-    rows = _fields(spark, d).filter("field_name in ('name', 'semantic_types')").distinct()
-    rows = rows.join(conf, F.col("mapping_id") == F.col("m"), "left").withColumn("w", F.lit(0.1) + F.coalesce("c", F.lit(0.0)))
-    best = survivor.survivors(rows, ["form", "field_name"], "tokens", "w", F.col("rank"), "mapping_id", vote="sum")
-    return best.join(_groups(spark, d), "form").select("group_id", "field_name", F.col("mapping_id").alias("source_id"), "n_values", "distance")
+    """The existing value of each field nearest what the rows of a group, weighted by trust, completeness and recency, agree on word by word."""
+    best = survivor.survivors(_fields(spark, d).distinct(), ["form", "field_name"], "tokens", "votes", F.col("rank"), "mapping_id")
+    return best.join(_groups(spark, d), "form").select("group_id", "field_name", F.col("mapping_id").alias("source_id"), F.col("n_values").cast("long").alias("n_values"), F.col("distance").cast("long").alias("distance"))
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Of :func:`p1_consensus`, the groups of at most two values and the atomic fields, which SQL can decide: the heavier value."""
+    return p1_consensus(spark, d).filter("n_values <= 2 or field_name in ('cui', 'confidence')").drop("distance")
+
+
+def p1_votes(spark: SparkSession, d: str) -> DataFrame:
+    """How often the weighted consensus keeps another value than the strict order of trust."""
+    strict = p1_found(spark, d).withColumnRenamed("source_id", "strict_id")
+    return p1_consensus(spark, d).join(strict, ["group_id", "field_name"]).groupBy("field_name").agg(F.count("*").alias("n_groups"), F.count_if(F.col("source_id") == F.col("strict_id")).alias("n_same"))
 
 
 # 2: one identifier for everything that is tied
@@ -182,7 +194,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     from kgloom.scratch import Scratch
 
     f = fusion.fuse(_lists(spark, d), ["mapping_id", "cui"], "list", "score", LISTS)
-    return fusion.majority_winner(Scratch(spark, "p5").cut(f), "mapping_id", "cui", list(LISTS))
+    return fusion.majority_winner(Scratch(spark, "p5").cut(f), "mapping_id", "cui", LISTS)
+
+
+def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
+    """How many mappings have a winner of all duels, and how often it is the first of the ranking over all items."""
+    from kgloom.scratch import Scratch
+
+    f = Scratch(spark, "p5").cut(fusion.fuse(_lists(spark, d), ["mapping_id", "cui"], "list", "score", LISTS))
+    first = f.groupBy("mapping_id").agg(F.min(F.struct((-F.round("fused", 9)).alias("f"), "cui")).alias("x"), F.count("*").alias("n")).filter("n > 1")
+    won = fusion.majority_winner(f, "mapping_id", "cui", LISTS).select("mapping_id", F.col("cui").alias("won"))
+    x = first.join(won, "mapping_id", "left")
+    return x.agg(F.count("*").alias("n_mappings"), F.count("won").alias("n_winners"), F.count_if(F.col("won") == F.col("x.cui")).alias("n_same"))
 
 
 # 6: the best rows of every concept and method
@@ -232,6 +255,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_consensus": p1_consensus,
+    "p1_pairs": p1_pairs,
+    "p1_votes": p1_votes,
     "p2_found": p2_found,
     "p2_support": p2_support,
     "p3_found": p3_found,
@@ -241,6 +266,7 @@ QUERIES = {
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_ranking": p5_ranking,
+    "p5_agreement": p5_agreement,
     "p6_found": p6_found,
     "p7_windows": p7_windows,
     "p8_found": p8_found,

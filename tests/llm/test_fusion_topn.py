@@ -23,12 +23,18 @@ def frame(spark, rows):
     return spark.createDataFrame([(*r, "clash") for r in rows], "g long, item string, list_ string, score double, fused string")
 
 
-def test_exact_median(spark):
+def test_exact_medians(spark, monkeypatch):
     rng = random.Random(1)
-    for n in (1, 2, 3, 1000, 2001):
-        v = [rng.choice([rng.gauss(0, 5), 1.0, -2.0]) for _ in range(n)]
-        df = spark.createDataFrame([("k", x) for x in v] + [("k", None)], "k string, x double")
-        assert abs(fusion.exact_median(df, "k", "x").first()["median"] - median(v)) < 1e-12
+    for rest in (20_000, 8):
+        monkeypatch.setattr(fusion, "REST", rest)
+        for n in (1, 2, 3, 1000, 2001):
+            v = [(rng.choice([rng.gauss(0, 5), 1.0, -2.0]), rng.choice([7.0, 7.0, 7.0, 8.0, None]), float(i), rng.choice([0.0, 1.0])) for i in range(n)]
+            df = spark.createDataFrame([*v, (None, None, None, None)], "a double, b double, c double, d double")
+            got = fusion.exact_medians(df, {c: F.col(c) for c in "abcd"} | {"none": F.lit(None).cast("double")})
+            for i, c in enumerate("abcd"):
+                x = [r[i] for r in v if r[i] is not None]
+                assert got[c] == (median(x) if x else None), (n, c)
+            assert got["none"] is None
 
 
 def test_no_scale_outweighs(spark):
@@ -57,8 +63,32 @@ def test_majority_matches_brute_force(spark):
 
     want = {(g, x) for g, xs in items.items() if len(xs) > 1 for x in xs if all(beats(g, x, y) for y in xs if y != x)}
     f = fusion.fuse(frame(spark, rows), ["g", "item"], "list_", "score", LISTS)
-    for block in (256, 2):
-        assert {tuple(r) for r in fusion.majority_winner(f, "g", "item", list(LISTS), block=block).collect()} == want
+    for block in (256, 2, 3):
+        assert {tuple(r) for r in fusion.majority_winner(f, "g", "item", LISTS, block=block).collect()} == want
+
+
+def test_duels_by_weighted_geometric_mean(spark):
+    import math
+
+    rng = random.Random(9)
+    weights = {"a": 3.0, "b": 1.0, "c": 1.5}
+    pick = lambda: [rng.choice([None, 0.0, 1.0, 2.5, -7.0]) for _ in weights]
+    rows = [(pick(), pick()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>")
+    side = lambda c: F.struct(*[F.col(c)[i].alias(f"s_{k}") for i, k in enumerate(weights)])
+    got = [r.d for r in df.select(fusion.duel(side("x"), side("y"), weights).alias("d")).collect()]
+    for (x, y), d in zip(rows, got):
+        want = 0.0
+        for a, b, w in zip(x, y, weights.values()):
+            if a is None or b is None:
+                z = 0.0 if a == b else (1 if b is None else -1) / fusion.MAD_SCALE
+            else:
+                med = median([a, b])
+                mad = median([abs(a - med), abs(b - med)])
+                z = (a - med) / (fusion.MAD_SCALE * mad) if mad else 0.0
+            squash = lambda v: 1 / (1 + math.exp(-v))
+            want += w * (math.log(squash(z)) - math.log(squash(-z)))
+        assert abs(want - d) < 1e-6
 
 
 def test_fusion_of_nothing(spark):
