@@ -252,6 +252,13 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residue(docs, "doc_id", "text").filter("is_residue").select(F.col("id").alias("doc_id"))
 
 
+def p9_templates(spark: SparkSession, d: str) -> DataFrame:
+    """How many templates have each verdict, how many documents hold them, and the one held most."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    t = residue.templates(docs, "doc_id", "text")
+    return t.groupBy("verdict").agg(F.count("*").alias("n_templates"), F.sum("n_texts").alias("n_texts"), F.max(F.struct("n_texts", "template")).alias("x")).select("verdict", "n_templates", "n_texts", F.col("x.template").alias("most_held"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_consensus": p1_consensus,
@@ -272,4 +279,5 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_spans": p8_spans,
     "p9_found": p9_found,
+    "p9_templates": p9_templates,
 }
