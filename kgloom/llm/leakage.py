@@ -1,8 +1,9 @@
 """Problem 8: evaluation passages inside training text, by an FM-index of each training shard.
 
-Texts become words; words that no test passage has are told apart from none of
+Texts become words, once; words that no test passage has are told apart from none of
 them, so a text is a row of maximal runs of test words, and a run shorter than the
-shared passage sought can hold none. Runs are what a shard indexes: distinct runs,
+shared passage sought can hold none. Which words are test words is read from a bit map of
+fixed size, in which a word too many only makes a run longer. Runs are what a shard indexes: distinct runs,
 so that copies of a text are indexed once. A shard's index is the
 Burrows-Wheeler transform of its runs in a wavelet matrix with rank counts, and the
 suffix array sampled at every 16th position. All test phrases of the given length
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ from kgloom.scratch import Scratch
 WORD = re.compile(r"[^\W_]+")
 #: At most so many symbols are indexed at a time; a shard is cut into as many indexes as that takes.
 SHARD = 1 << 19
+#: At most about so many (occurrence, test field) pairs are written out at a time.
+WIDE = 1 << 20
 
 
 class FMIndex:
@@ -106,75 +110,156 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _runs(vocabulary: dict[str, int], least: int):
-    """Maximal runs of at least ``least`` test words of each text."""
+def codes(text: str | None) -> np.ndarray:
+    """A 64-bit code for each word; 0 is none."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 for w in words(text)), np.uint64)
+
+
+class WordSet:
+    """Which codes may be words of test material: two bits of a map of fixed size for each; none is missed, a few others pass."""
+
+    BITS = 26
+
+    def __init__(self, batches=()):
+        self.map = np.zeros(1 << (self.BITS - 3), np.uint8)
+        for c in batches:
+            for at in self._at(c):
+                np.bitwise_or.at(self.map, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def _at(self, c: np.ndarray):
+        mask = np.uint64((1 << self.BITS) - 1)
+        return ((c >> np.uint64(s)) & mask for s in (2, 34)) if len(c) else ()
+
+    def has(self, c: np.ndarray) -> np.ndarray:
+        out = np.ones(len(c), bool)
+        for at in self._at(c):
+            out &= (self.map[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
+
+
+def _items(least: int):
+    """(item, field, n, words): the codes of each field of at least ``least`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = vocabulary.get
+        for b in batches:
+            c = [codes(t) for t in b.column(2).to_pylist()]
+            keep = pa.array([len(x) >= least for x in c], pa.bool_())
+            out = pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in c], pa.int64()), pa.array([x.tobytes() for x in c], pa.binary())], ["item", "field", "n", "words"])
+            yield out.filter(keep)
+
+    return run
+
+
+def _runs(known, least: int):
+    """Maximal runs of at least ``least`` words of each text that may be test words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = WordSet()
+        test.map = np.frombuffer(known.value, np.uint8)
+        seen: dict[str, int] = {}
         for b in batches:
             ids, starts, runs = [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = np.fromiter((get(x, 0) for x in words(t)), np.int32)
+                w = words(t)
                 if len(w) < least:
                     continue
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], (w > 0).astype(np.int8), [0]])))
+                # A word is looked up once a task; the table starts anew when it is large.
+                new = [x for x in dict.fromkeys(w) if x not in seen]
+                if new:
+                    if len(seen) > 500_000:
+                        seen.clear()
+                        new = list(dict.fromkeys(w))
+                    c = np.array([xxhash.xxh3_64_intdigest(x) | 1 for x in new], np.uint64)
+                    seen.update(zip(new, np.where(test.has(c), c, np.uint64(0)).tolist()))
+                c = np.array([seen[x] for x in w], np.uint64)
+                edge = np.flatnonzero(np.diff(np.concatenate([[0], (c > 0).astype(np.int8), [0]])))
                 for a, z in zip(edge[::2], edge[1::2]):
                     if z - a >= least:
                         ids.append(i)
                         starts.append(int(a))
-                        runs.append(w[a:z].astype("<i4").tobytes())
+                        runs.append(c[a:z].tobytes())
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(runs, pa.binary())], ["id", "run_start", "run"])
 
     return run
 
 
-def _search(grams: np.ndarray, owner: np.ndarray, offset: np.ndarray, least: int):
-    """Spans of each run that an owner (item and field) shares. grams: distinct phrases; offset[g]:offset[g+1] its owners."""
+class Phrases:
+    """The distinct phrases of ``least`` words of a block of test fields, and which fields have each."""
+
+    def __init__(self, fields: list[np.ndarray], least: int):
+        self.least = least
+        self.words = np.unique(np.concatenate(fields)) if fields else np.zeros(0, np.uint64)
+        grams, owner = [np.zeros((0, least), np.int64)], [np.zeros(0, np.int64)]
+        for o, f in enumerate(fields):
+            g = np.unique(np.lib.stride_tricks.sliding_window_view(np.searchsorted(self.words, f), least), axis=0)
+            grams.append(g)
+            owner.append(np.full(len(g), o, np.int64))
+        grams, owner = np.concatenate(grams), np.concatenate(owner)
+        self.grams, which = np.unique(grams, axis=0, return_inverse=True)
+        order = np.lexsort((owner, which.ravel()))
+        self.owner = owner[order]
+        self.offset = np.concatenate([[0], np.cumsum(np.bincount(which.ravel(), minlength=len(self.grams)))]).astype(np.int64)
+
+    def symbols(self, run: np.ndarray) -> np.ndarray:
+        """Words of the block from 2 on, all others 1."""
+        at = np.minimum(np.searchsorted(self.words, run), len(self.words) - 1)
+        return np.where(self.words[at] == run, at + 2, 1)
+
 
-    def spans(keys: list, runs: list[np.ndarray]):
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + n[0] - 1, start[1] .. and so on."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+
+def _search(shared):
+    """Spans of each run that an owner (item and field) shares."""
+
+    def spans(ph: Phrases, keys: list, runs: list[np.ndarray]):
         lengths = np.array([len(r) for r in runs])
         begin = np.concatenate([[0], np.cumsum(lengths + 1)])
-        seq = np.ones(begin[-1], np.int64)  # 1 parts the runs, test words start at 2
+        seq = np.ones(begin[-1], np.int64)  # 1 parts the runs
         for s, r in zip(begin, runs):
-            seq[s : s + len(r)] = r + 1
+            seq[s : s + len(r)] = ph.symbols(r)
         index = FMIndex(seq)
-        p, lo, hi = index.search(grams)
+        p, lo, hi = index.search(ph.grams + 2)
         if not len(p):
-            return None
+            return
         n = hi - lo
-        rows = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        pos, g = index.locate(rows), np.repeat(p, n)
-        k = offset[g + 1] - offset[g]
-        who = owner[np.repeat(offset[g] - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())]
-        pos = np.repeat(pos, k)
-        run = np.searchsorted(begin, pos, side="right") - 1
-        o = np.lexsort((pos, who, run))
-        run, who, pos = run[o], who[o], pos[o]
-        new = np.ones(len(o), bool)
-        new[1:] = (run[1:] != run[:-1]) | (who[1:] != who[:-1]) | (pos[1:] > pos[:-1] + least)
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(o)) - 1
-        at = begin[run[first]]
-        return [keys[r] for r in run[first]], who[first], pos[first] - at, pos[last] + least - at
+        pos, g = index.locate(_ranges(lo, n)), np.repeat(p, n)
+        o = np.argsort(pos, kind="stable")
+        pos, g = pos[o], g[o]
+        k, run = ph.offset[g + 1] - ph.offset[g], np.searchsorted(begin, pos, side="right") - 1
+        # A phrase that very many fields have is written out for some runs at a time.
+        part = np.cumsum(k) // WIDE
+        ends = np.flatnonzero(np.append((run[1:] != run[:-1]) & (part[1:] != part[:-1]), True)) + 1
+        for a, z in zip([0, *ends[:-1]], ends):
+            x, kk = slice(a, z), k[a:z]
+            who = ph.owner[_ranges(ph.offset[g[x]], kk)]
+            r, at = np.repeat(run[x], kk), np.repeat(pos[x], kk)
+            o = np.lexsort((at, who, r))
+            r, who, at = r[o], who[o], at[o]
+            new = np.ones(len(o), bool)
+            new[1:] = (r[1:] != r[:-1]) | (who[1:] != who[:-1]) | (at[1:] > at[:-1] + ph.least)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(o)) - 1
+            base = begin[r[first]]
+            cols = [pa.array([keys[i] for i in r[first]], pa.string()), pa.array(who[first]), pa.array(at[first] - base), pa.array(at[last] + ph.least - base)]
+            yield pa.RecordBatch.from_arrays(cols, ["k", "owner", "a", "z"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, runs, size = [], [], 0
-
-        def flush():
-            if keys and (x := spans(keys, runs)):
-                yield pa.RecordBatch.from_arrays([pa.array(x[0], pa.string()), *(pa.array(c, pa.int64()) for c in x[1:])], ["k", "owner", "a", "z"])
-
         for b in batches:
             for k, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                r = np.frombuffer(r, "<i4").astype(np.int64)
-                if size + len(r) > SHARD:
-                    yield from flush()
+                r = np.frombuffer(r, np.uint64)
+                if keys and size + len(r) > SHARD:
+                    yield from spans(shared.value, keys, runs)
                     keys, runs, size = [], [], 0
                 keys.append(k)
                 runs.append(r)
                 size += len(r) + 1
-        yield from flush()
+        if keys:
+            yield from spans(shared.value, keys, runs)
 
     return run
 
@@ -183,36 +268,44 @@ def leaks(docs: DataFrame, ident: str, text: str, items: DataFrame, item: str, f
     """(id, item_id, field, start_word, n_words): every stretch of at least ``least`` words that a text shares with a field of a test item.
 
     Null or blank texts and fields, and those of fewer words, share nothing;
-    repeated rows change nothing; other columns are ignored. Test items are taken
-    ``block_words`` words at a time, so that what goes to the executors is bounded
-    whatever the size of the test material. Empty tables give empty tables.
+    repeated rows change nothing; other columns are ignored. Texts are read and cut into runs
+    once, whatever the size of the test material; the runs are searched for the phrases of
+    about ``block_words`` test words at a time, so that what goes to the executors is bounded.
+    Empty tables give empty tables.
     """
     spark = docs.sparkSession
     s = Scratch(spark, "leaks")
     long = items.select(F.col(item).cast("long").alias("item"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("t")) for f in fields])).alias("x")).select("item", "x.*").filter("t is not null and item is not null").distinct()
-    chars = long.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-chars // (4 * block_words)))
+    test = s.cut(long.mapInArrow(_items(least), "item long, field string, n long, words binary"))
+    total = test.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
+    # The test words, as marks in a map of fixed size, block by block.
+    known, phrases = WordSet(), []
+    for blk in range(blocks):
+        part = test if blocks == 1 else test.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == blk)
+        got = part.orderBy("item", "field", F.md5("words")).collect()
+        f = [np.frombuffer(r.words, np.uint64) for r in got]
+        known.map |= WordSet(f).map
+        phrases.append(([(i, r.item, r.field) for i, r in enumerate(got)], f) if blocks == 1 else None)
     rows = docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null and t is not null")
+    marks = spark.sparkContext.broadcast(known.map.tobytes())
+    runs = s.cut(rows.mapInArrow(_runs(marks, least), "id long, run_start long, run binary").withColumn("k", F.sha2("run", 256)).dropDuplicates(["id", "run_start", "k"]))
+    distinct = runs.groupBy("k").agg(F.first("run").alias("run"))
+    distinct = distinct if blocks == 1 else s.cut(distinct)
     out = None
     for blk in range(blocks):
-        vocabulary: dict[str, int] = {}
-        owners: list[tuple[int, str]] = []
-        grams: dict[tuple[int, ...], set[int]] = {}
-        for r in long.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == blk).orderBy("item", "field").toLocalIterator():
-            w = [vocabulary.setdefault(x, len(vocabulary) + 1) for x in words(r.t)]
-            for i in range(len(w) - least + 1):
-                grams.setdefault(tuple(w[i : i + least]), set()).add(len(owners))
-            owners.append((r.item, r.field))
-        if not grams and out is not None:
+        if blocks == 1:
+            owners, f = phrases[0]
+        else:
+            got = test.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == blk).orderBy("item", "field", F.md5("words")).collect()
+            owners, f = [(i, r.item, r.field) for i, r in enumerate(got)], [np.frombuffer(r.words, np.uint64) for r in got]
+        if not f:
             continue
-        table = np.array(list(grams) or np.zeros((0, least)), np.int64).reshape(-1, least) + 1
-        offset = np.concatenate([[0], np.cumsum([len(x) for x in grams.values()])]).astype(np.int64)
-        owner = np.array([o for x in grams.values() for o in sorted(x)], np.int64)
-        runs = s.cut(rows.mapInArrow(_runs(vocabulary, least), "id long, run_start long, run binary").withColumn("k", F.sha2("run", 256)).dropDuplicates(["id", "run_start", "k"]))
-        distinct = runs.groupBy("k").agg(F.first("run").alias("run"))
-        found = distinct.mapInArrow(_search(table, owner, offset, least), "k string, owner long, a long, z long")
-        names = spark.createDataFrame([(i, a, f) for i, (a, f) in enumerate(owners)], "owner long, item_id long, field string")
-        one = found.join(F.broadcast(names), "owner").join(runs.select("k", "id", "run_start"), "k")
+        found = distinct.mapInArrow(_search(spark.sparkContext.broadcast(Phrases(f, least))), "k string, owner long, a long, z long")
+        names = spark.createDataFrame(owners, "owner long, item_id long, field string")
+        one = s.cut(found).join(F.broadcast(names), "owner").join(runs.select("k", "id", "run_start"), "k")  # names: at most a block's fields
         one = one.select("id", "item_id", "field", (F.col("run_start") + F.col("a")).alias("start_word"), (F.col("z") - F.col("a")).alias("n_words"))
         out = one if out is None else out.unionByName(one)
-    return out
+    if out is None:
+        return spark.createDataFrame([], "id long, item_id long, field string, start_word long, n_words long")
+    return out.distinct()
