@@ -7,14 +7,17 @@ together, since blanks are typed carelessly. Keys are compared by edit
 distance, a true metric, in a BK-tree: a node's subtree at distance d holds the
 keys at distance d from the node, so the triangle inequality leaves only
 subtrees within the threshold of the query's own distance. Each qualifier set has
-its tree. The list is broadcast while its size is within a checked bound, else cut
-into shards, each searched by every query; shards' winners are merged.
+its tree. The list is cut into shards of bounded size, whose trees are built by the tasks that
+search them, each by every query; shards' winners are merged. Typing errors are told
+from other names: numbers, contrasts (hyper, hypo) and words that the list itself sets
+against each other are not edited away.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,6 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.scratch import Scratch
+
 #: Qualifiers and how they are written; what surrounds a name without being part of it.
 QUALIFIERS = {
     "acute": "acute ac", "chronic": "chronic chr chron", "congenital": "congenital congen cong", "secondary": "secondary sec second", "recurrent": "recurrent recurr rec",
@@ -102,47 +107,88 @@ def parts(value: str | None) -> tuple[list[str], str]:
     return core, "+".join(sorted(found))
 
 
-def keys(value: str | None, most: int | None = None) -> tuple[list[str], str]:
-    """Run-together keys of a value, one for each rotation of its words, at most ``most`` of them, and its qualifiers."""
-    core, q = parts(value)
-    if not core:
-        return [], q
-    turns = ["".join(core[i:] + core[:i]) for i in range(len(core) if most is None else min(len(core), most))]
-    return list(dict.fromkeys(turns)), q
+def turns(core: list[str]) -> list[str]:
+    """The words run together, once for each rotation of them."""
+    return list(dict.fromkeys("".join(core[i:] + core[:i]) for i in range(len(core))))
+
+
+#: Parts of words that tell one thing from its opposite or its neighbour; a name that differs by such a part is another name.
+CONTRASTS = tuple(tuple(x.split()) for x in """
+ hyper hypo|tachy brady|poly oligo|macro micro|anterior posterior|superior inferior|medial lateral|proximal distal|ventral dorsal|internal external|upper lower|benign malignant|primary secondary
+ systolic diastolic|afferent efferent|abduct adduct|intra inter extra infra supra|endo ecto exo epi|pre post ante|maternal paternal|arterial venous|sensory motor|central peripheral|open closed|acquired congenital
+ typical atypical|male female|infant adult|vitamina vitaminb vitaminc vitamind vitamine vitamink|hepatitisa hepatitisb hepatitisc hepatitisd hepatitise|influenzaa influenzab|factorv factorx|alpha beta gamma delta
+""".replace("\n", "|").split("|") if x.strip())
+_PAIRS = [(a, b) for c in CONTRASTS for a in c for b in c if a != b] + [("non", ""), ("", "non")]
+
+
+def opposed(typed: str, key: str, d: int) -> bool:
+    """Whether keys at distance ``d`` > 0 differ by a number or by a contrast: with the one part put for the other they would be nearer."""
+    if re.findall(r"\d+", typed) != re.findall(r"\d+", key):
+        return True
+    for a, b in _PAIRS:
+        if a and a in typed and (b in key if b else a not in key) and distance(typed.replace(a, b, 1), key, d) < d:
+            return True
+        if not a and b in key and b not in typed and distance(typed, key.replace(b, "", 1), d) < d:
+            return True
+    return False
 
 
 class BKTree:
     """Keys under edit distance, each with the entries it stands for; many queries walk it together.
 
     ``keys[i]`` is a node; its children are the rows ``first[i]:first[i + 1]`` of
-    ``child`` and ``edge``, the edge being the child's distance from the node.
+    ``child`` and ``edge``, the edge being the child's distance from the node. All keys
+    descend together, level by level, to the place that inserting them one by one would give them.
     """
 
     WIDE = 64  # letters of a query that one machine word holds
 
-    def __init__(self, pairs: list[tuple[str, str]]):
-        entries: dict[str, set[str]] = {}
+    def __init__(self, pairs: list[tuple[str, tuple]]):
+        entries: dict[str, set] = {}
         for key, entry in pairs:
             entries.setdefault(key, set()).add(entry)
         self.keys = list(entries)
         self.entries = [sorted(e) for e in entries.values()]
-        kids: list[dict[int, int]] = [{} for _ in self.keys]
-        for i in range(1, len(self.keys)):
-            at = 0
-            while True:
-                d = distance(self.keys[i], self.keys[at])
-                if d not in kids[at]:
-                    kids[at][d] = i
-                    break
-                at = kids[at][d]
-        self.first = np.concatenate([[0], np.cumsum([len(k) for k in kids])]).astype(np.int64)
-        self.child = np.array([c for k in kids for c in k.values()], np.int64)
-        self.edge = np.array([d for k in kids for d in k], np.int64)
         self.alphabet = {c: i for i, c in enumerate(sorted(set("".join(self.keys))))}
         self.length = np.array([len(k) for k in self.keys], np.int64)
         self.code = np.full((len(self.keys), int(self.length.max())), len(self.alphabet), np.int64)
         for i, k in enumerate(self.keys):
             self.code[i, : len(k)] = [self.alphabet[c] for c in k]
+        links: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        todo, at = np.arange(1, len(self.keys)), np.zeros(max(0, len(self.keys) - 1), np.int64)
+        while len(todo):
+            d = np.concatenate([self._between(todo[lo : lo + 4096], at[lo : lo + 4096]) for lo in range(0, len(todo), 4096)])
+            # The first of those that come to a node with one distance is its child; the others go on from there.
+            o = np.lexsort((todo, d, at))
+            head = np.ones(len(o), bool)
+            head[1:] = (at[o][1:] != at[o][:-1]) | (d[o][1:] != d[o][:-1])
+            child = todo[o][head]
+            links.append((at[o][head], d[o][head], child))
+            below = child[np.cumsum(head) - 1]
+            todo, at = todo[o][~head], below[~head]
+        parent, edge, child = (np.concatenate(x) for x in zip(*links)) if links else (np.zeros(0, np.int64),) * 3
+        o = np.lexsort((edge, parent))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(parent, minlength=len(self.keys)))]).astype(np.int64)
+        self.child, self.edge = child[o], edge[o]
+
+    def _bits(self, queries: list[str]) -> np.ndarray:
+        bits = np.zeros((len(queries), len(self.alphabet) + 1), np.uint64)
+        for r, q in enumerate(queries):
+            for j, c in enumerate(q):
+                if (k := self.alphabet.get(c)) is not None:
+                    bits[r, k] |= np.uint64(1 << j)
+        return bits
+
+    def _between(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Distances of the keys i from the keys j, one by one."""
+        out = np.zeros(len(i), np.int64)
+        short = self.length[i] <= self.WIDE
+        if short.any():
+            q = np.arange(int(short.sum()))
+            out[short] = self._distances(self._bits([self.keys[x] for x in i[short]]), self.length[i[short]], q, j[short])
+        for x in np.flatnonzero(~short):
+            out[x] = distance(self.keys[i[x]], self.keys[j[x]])
+        return out
 
     def _distances(self, bits: np.ndarray, size: np.ndarray, q: np.ndarray, node: np.ndarray) -> np.ndarray:
         """Distances of pairs (query, node), 64 cells of a column at a time (Myers' bit vectors)."""
@@ -160,28 +206,24 @@ class BKTree:
             plus, minus = mh | ~(xv | ph), ph & xv
         return score
 
-    def within(self, queries: list[str], most: list[int]) -> list[list[tuple[int, str]]]:
-        """For each query the (distance, entry) of every entry within its own threshold."""
-        out: list[list[tuple[int, str]]] = [[] for _ in queries]
+    def within(self, queries: list[str], most: list[int]) -> list[list[tuple[int, int]]]:
+        """For each query the (distance, node) of every key within its own threshold."""
+        out: list[list[tuple[int, int]]] = [[] for _ in queries]
         short = [i for i, k in enumerate(queries) if 0 < len(k) <= self.WIDE]
         for i in set(range(len(queries))) - set(short):
             todo = [0] if queries[i] else []
             while todo:
                 at = todo.pop()
                 d = distance(queries[i], self.keys[at])
-                out[i] += [(d, e) for e in self.entries[at] if d <= most[i]]
+                out[i] += [(d, at)] if d <= most[i] else []
                 todo += [int(self.child[c]) for c in range(self.first[at], self.first[at + 1]) if abs(self.edge[c] - d) <= most[i]]
-        bits = np.zeros((len(short), len(self.alphabet) + 1), np.uint64)
-        for r, i in enumerate(short):
-            for j, c in enumerate(queries[i]):
-                if (k := self.alphabet.get(c)) is not None:
-                    bits[r, k] |= np.uint64(1 << j)
+        bits = self._bits([queries[i] for i in short])
         size, limit = np.array([len(queries[i]) for i in short], np.int64), np.array([most[i] for i in short], np.int64)
         q, node = np.arange(len(short)), np.zeros(len(short), np.int64)
         while len(q):
             d = self._distances(bits, size, q, node)
             for r in np.flatnonzero(d <= limit[q]):
-                out[short[q[r]]] += [(int(d[r]), e) for e in self.entries[node[r]]]
+                out[short[q[r]]].append((int(d[r]), int(node[r])))
             n = self.first[node + 1] - self.first[node]
             at = np.repeat(self.first[node] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             q, d = np.repeat(q, n), np.repeat(d, n)
@@ -196,59 +238,101 @@ def tolerance(n: int) -> int:
 
 
 def forest(entries: list[tuple[str, str]]) -> dict[str, BKTree]:
-    """A tree for each set of qualifiers, holding every rotation of a name's words."""
-    pairs: dict[str, list[tuple[str, str]]] = {}
+    """A tree for each set of qualifiers, holding every rotation of a name's words; a node stands for (entry, words of the name)."""
+    pairs: dict[str, list[tuple[str, tuple]]] = {}
     for entry, name in entries:
-        turns, q = keys(name)
-        pairs.setdefault(q, []).extend((k, entry) for k in turns)
+        core, q = parts(name)
+        for k in turns(core):
+            pairs.setdefault(q, []).append((k, (entry, tuple(core))))
     return {q: BKTree(p) for q, p in pairs.items() if p}
 
 
-def _search(trees: dict[str, BKTree]):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            asked: dict[str, list[tuple[str, str]]] = {}
-            for v in f["v"]:
-                turns, q = keys(v, 1)  # a typed value is looked up as it stands
-                if turns and q in trees:
-                    asked.setdefault(q, []).append((v, turns[0]))
-            out = []
-            for q, vs in asked.items():
-                for lo in range(0, len(vs), 512):
-                    part = vs[lo : lo + 512]
-                    for (v, _), hits in zip(part, trees[q].within([k for _, k in part], [tolerance(len(k)) for _, k in part])):
-                        if hits:
-                            d = min(hits)[0]
-                            out += [(v, d, e) for e in {e for x, e in hits if x == d}]
-            yield pd.DataFrame(out, columns=["v", "dist", "entry"])
-
-    return run
-
-
-def map_values(values: DataFrame, ident: str, value: str, reference: DataFrame, entry: str, name: str, *, none: str = "NONE", bound: int = 50_000, ambiguous: str | None = None) -> DataFrame:
+def _found(trees: dict[str, BKTree], values: list[str]) -> list[tuple]:
+    """(value, distance, entry, its word, the entry's word): the words where just one differs on either side, else null."""
+    asked: dict[str, list[tuple[str, list[str]]]] = {}
+    for v in values:
+        core, q = parts(v)
+        if core and q in trees:
+            asked.setdefault(q, []).append((v, core))
+    out = []
+    for q, vs in asked.items():
+        tree = trees[q]
+        for lo in range(0, len(vs), 512):
+            part = vs[lo : lo + 512]
+            keys_ = ["".join(core) for _, core in part]  # a typed value is looked up as it stands
+            for (v, core), k, hits in zip(part, keys_, tree.within(keys_, [tolerance(len(k)) for k in keys_])):
+                best: dict[tuple, int] = {}
+                for d, node in hits:
+                    if d and opposed(k, tree.keys[node], d):
+                        continue
+                    for entry, words in tree.entries[node]:
+                        x, y = (list((Counter(a) - Counter(b)).elements()) for a, b in ((core, words), (words, core)))
+                        pair = (x[0], y[0]) if d and len(x) == len(y) == 1 else (None, None)
+                        at = (entry, *pair)
+                        best[at] = min(d, best.get(at, d))
+                out += [(v, d, e, x, y) for (e, x, y), d in best.items()]
+    return out
+
+
+def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Streams rows (cell, role, a, b) sorted by cell and role: a cell's share of the list (entry, name) first, then its values."""
+    cell, names, trees = None, [], None
+    for f in frames:
+        for (c, role), rows in f.groupby(["cell", "role"], sort=False):
+            if c != cell:
+                cell, names, trees = c, [], None
+            if role == 0:
+                names += zip(rows["a"], rows["b"])
+                continue
+            if trees is None:
+                trees, names = forest(sorted(names)), []
+            yield pd.DataFrame(_found(trees, list(rows["a"])), columns=["v", "dist", "entry", "x", "y"])
+
+
+def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, rest, e): each word of each name, with the others and the qualifiers."""
+    for f in frames:
+        out = []
+        for e, n in zip(f["e"], f["n"]):
+            core, q = parts(n)
+            out += [(w, " ".join([*sorted(core[:i] + core[i + 1 :]), "|", q]), e) for i, w in enumerate(core)]
+        yield pd.DataFrame(out, columns=["word", "rest", "e"])
+
+
+def map_values(values: DataFrame, ident: str, value: str, reference: DataFrame, entry: str, name: str, *, none: str = "NONE", bound: int = 50_000, share: int = 50_000, ambiguous: str | None = None) -> DataFrame:
     """(id, entry, distance): the reference entry that each typed value names, or ``none`` (distance null).
 
     Values are looked up once however often they are typed. Null and blank values
     and null ids are left out; null names are no names. Of entries equally near, the
     smallest is taken, or ``ambiguous`` stands for them if given. ``bound`` is the
-    largest number of names that one task holds; a longer list is searched in
-    shards. An empty list names nothing.
+    number of names that one task holds; a longer list is divided into shards, each
+    searched by every value, and about ``share`` values meet a shard in one task. A value is
+    not mapped where it differs by a number, by one of ``CONTRASTS``, or by two words that
+    elsewhere in the list tell entries apart that are otherwise named alike. An empty list names nothing.
     """
     spark = values.sparkSession
-    rows = values.select(F.col(ident).alias("id"), F.col(value).alias("v")).filter(F.col("id").isNotNull() & F.col("v").rlike(r"[^\s ]")).distinct()
-    ref = reference.select(F.col(entry).cast("string").alias("e"), F.col(name).cast("string").alias("n")).filter("e is not null and n is not null").distinct()
+    s = Scratch(spark, "canonical")
+    rows = s.cut(values.select(F.col(ident).alias("id"), F.col(value).alias("v")).filter(F.col("id").isNotNull() & F.col("v").rlike(r"[^\s ]")).distinct())
+    ref = s.cut(reference.select(F.col(entry).cast("string").alias("e"), F.col(name).cast("string").alias("n")).filter("e is not null and n is not null").distinct())
+    typed = s.cut(rows.select("v").distinct())
     shards = max(1, -(-ref.count() // bound))
-    typed = rows.select("v").distinct()
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    typed = typed.repartition(n, "v")
-    hits = None
-    for i in range(shards):
-        block = [(r.e, r.n) for r in ref.filter(F.pmod(F.xxhash64("n"), F.lit(shards)) == i).orderBy("e", "n").toLocalIterator()]
-        h = typed.mapInPandas(_search(forest(block)), "v string, dist int, entry string")
-        hits = h if hits is None else hits.unionByName(h)
+    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    salts = max(1, -(-cores // shards), -(-typed.count() // share))
+    # A cell is a shard and a part of the values: the shard's names go to each of its cells, a value to one cell of each shard.
+    cells = lambda n, c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), c)).alias("cell")
+    lists = ref.select(cells(salts, lambda i: F.pmod(F.xxhash64("n"), F.lit(shards)) * salts + i), F.lit(0).alias("role"), F.col("e").alias("a"), F.col("n").alias("b"))
+    asks = typed.select(cells(shards, lambda i: i * salts + F.pmod(F.xxhash64("v"), F.lit(salts))), F.lit(1).alias("role"), F.col("v").alias("a"), F.lit(None).cast("string").alias("b"))
+    met = lists.unionByName(asks).repartition(4 * shards * salts, "cell").sortWithinPartitions("cell", "role")
+    hits = s.cut(met.mapInPandas(_search, "v string, dist int, entry string, x string, y string"))
+    # Two words that tell entries apart elsewhere: the same other words with either name different entries.
+    pairs = hits.filter("x is not null").select("x", "y").distinct()
+    told = ref.mapInPandas(_words, "word string, rest string, e string").distinct()
+    mine, theirs = told.select(F.col("word").alias("x"), "rest", F.col("e").alias("e1")), told.select(F.col("word").alias("y"), "rest", F.col("e").alias("e2"))
+    apart = pairs.join(mine, "x").join(theirs, ["y", "rest"]).filter("e1 <> e2").select("x", "y").distinct()
+    hits = hits.join(apart.withColumn("apart", F.lit(True)), ["x", "y"], "left").filter("apart is null")
     best = hits.groupBy("v").agg(F.min(F.struct("dist", "entry")).alias("b"))
     if ambiguous is not None:
-        near = hits.join(best, "v").filter(F.col("dist") == F.col("b.dist")).groupBy("v").agg(F.count_distinct("entry").alias("k"))
-        best = best.join(near, "v").select("v", F.struct(F.col("b.dist").alias("dist"), F.when(F.col("k") > 1, F.lit(ambiguous)).otherwise(F.col("b.entry")).alias("entry")).alias("b"))
-    out = rows.join(best, "v", "left")
+        near = hits.join(s.cut(best), "v").filter(F.col("dist") == F.col("b.dist")).groupBy("v").agg(F.count_distinct("entry").alias("k"), F.first("b").alias("b"))
+        best = near.select("v", F.struct(F.col("b.dist").alias("dist"), F.when(F.col("k") > 1, F.lit(ambiguous)).otherwise(F.col("b.entry")).alias("entry")).alias("b"))
+    out = rows.join(s.cut(best), "v", "left")
     return out.select("id", F.coalesce("b.entry", F.lit(none)).alias("entry"), F.col("b.dist").alias("distance")).distinct()
