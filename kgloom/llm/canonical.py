@@ -237,11 +237,10 @@ def tolerance(n: int) -> int:
     return 0 if n <= 6 else 1 if n <= 8 else 2 if n <= 9 else 3 if n <= 15 else 4
 
 
-def forest(entries: list[tuple[str, str]]) -> dict[str, BKTree]:
-    """A tree for each set of qualifiers, holding every rotation of a name's words; a node stands for (entry, words of the name)."""
+def forest(entries: list[tuple[str, str, list[str]]]) -> dict[str, BKTree]:
+    """A tree for each set of qualifiers of (entry, qualifiers, words), holding every rotation of a name's words; a node stands for (entry, words)."""
     pairs: dict[str, list[tuple[str, tuple]]] = {}
-    for entry, name in entries:
-        core, q = parts(name)
+    for entry, q, core in entries:
         for k in turns(core):
             pairs.setdefault(q, []).append((k, (entry, tuple(core))))
     return {q: BKTree(p) for q, p in pairs.items() if p}
@@ -275,31 +274,27 @@ def _found(trees: dict[str, BKTree], values: list[str]) -> list[tuple]:
 
 
 def _search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Streams rows (cell, role, a, b) sorted by cell and role: a cell's share of the list (entry, name) first, then its values."""
+    """Streams rows (cell, role, a, q, core) sorted by cell and role: a cell's share of the list (entry, qualifiers, words) first, then its values."""
     cell, names, trees = None, [], None
     for f in frames:
         for (c, role), rows in f.groupby(["cell", "role"], sort=False):
             if c != cell:
                 cell, names, trees = c, [], None
             if role == 0:
-                names += zip(rows["a"], rows["b"])
+                names += ((e, q, w.split(" ")) for e, q, w in zip(rows["a"], rows["q"], rows["core"]))
                 continue
             if trees is None:
                 trees, names = forest(sorted(names)), []
             yield pd.DataFrame(_found(trees, list(rows["a"])), columns=["v", "dist", "entry", "x", "y"])
 
 
-def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(word, rest, e): each word of each name, with the others and the qualifiers."""
+def _parts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        out = []
-        for e, n in zip(f["e"], f["n"]):
-            core, q = parts(n)
-            out += [(w, " ".join([*sorted(core[:i] + core[i + 1 :]), "|", q]), e) for i, w in enumerate(core)]
-        yield pd.DataFrame(out, columns=["word", "rest", "e"])
+        p = [parts(n) for n in f["n"]]
+        yield pd.DataFrame({"e": f["e"], "q": [q for _, q in p], "core": [" ".join(c) for c, _ in p]})
 
 
-def map_values(values: DataFrame, ident: str, value: str, reference: DataFrame, entry: str, name: str, *, none: str = "NONE", bound: int = 50_000, share: int = 50_000, ambiguous: str | None = None) -> DataFrame:
+def map_values(values: DataFrame, ident: str, value: str, reference: DataFrame, entry: str, name: str, *, none: str = "NONE", bound: int = 50_000, share: int = 8192, ambiguous: str | None = None) -> DataFrame:
     """(id, entry, distance): the reference entry that each typed value names, or ``none`` (distance null).
 
     Values are looked up once however often they are typed. Null and blank values
@@ -313,20 +308,21 @@ def map_values(values: DataFrame, ident: str, value: str, reference: DataFrame,
     spark = values.sparkSession
     s = Scratch(spark, "canonical")
     rows = s.cut(values.select(F.col(ident).alias("id"), F.col(value).alias("v")).filter(F.col("id").isNotNull() & F.col("v").rlike(r"[^\s ]")).distinct())
-    ref = s.cut(reference.select(F.col(entry).cast("string").alias("e"), F.col(name).cast("string").alias("n")).filter("e is not null and n is not null").distinct())
+    ref = reference.select(F.col(entry).cast("string").alias("e"), F.col(name).cast("string").alias("n")).filter("e is not null and n is not null").distinct()
+    ref = s.cut(ref.mapInPandas(_parts, "e string, q string, core string").filter("core <> ''").distinct())
     typed = s.cut(rows.select("v").distinct())
-    shards = max(1, -(-ref.count() // bound))
-    cores = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    salts = max(1, -(-cores // shards), -(-typed.count() // share))
+    shards, salts = max(1, -(-ref.count() // bound)), max(1, -(-typed.count() // share))
     # A cell is a shard and a part of the values: the shard's names go to each of its cells, a value to one cell of each shard.
     cells = lambda n, c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), c)).alias("cell")
-    lists = ref.select(cells(salts, lambda i: F.pmod(F.xxhash64("n"), F.lit(shards)) * salts + i), F.lit(0).alias("role"), F.col("e").alias("a"), F.col("n").alias("b"))
-    asks = typed.select(cells(shards, lambda i: i * salts + F.pmod(F.xxhash64("v"), F.lit(salts))), F.lit(1).alias("role"), F.col("v").alias("a"), F.lit(None).cast("string").alias("b"))
-    met = lists.unionByName(asks).repartition(4 * shards * salts, "cell").sortWithinPartitions("cell", "role")
+    none_ = F.lit(None).cast("string")
+    lists = ref.select(cells(salts, lambda i: F.pmod(F.xxhash64("q", "core"), F.lit(shards)) * salts + i), F.lit(0).alias("role"), F.col("e").alias("a"), "q", "core")
+    asks = typed.select(cells(shards, lambda i: i * salts + F.pmod(F.xxhash64("v"), F.lit(salts))), F.lit(1).alias("role"), F.col("v").alias("a"), none_.alias("q"), none_.alias("core"))
+    met = lists.unionByName(asks).repartition(3 * shards * salts, "cell").sortWithinPartitions("cell", "role")
     hits = s.cut(met.mapInPandas(_search, "v string, dist int, entry string, x string, y string"))
     # Two words that tell entries apart elsewhere: the same other words with either name different entries.
     pairs = hits.filter("x is not null").select("x", "y").distinct()
-    told = ref.mapInPandas(_words, "word string, rest string, e string").distinct()
+    told = ref.select("e", "q", F.split("core", " ").alias("w")).select("e", "q", "w", F.posexplode("w").alias("i", "word"))
+    told = told.select("word", F.struct("q", F.array_sort(F.filter("w", lambda x, i: i != F.col("i"))).alias("others")).alias("rest"), "e").distinct()
     mine, theirs = told.select(F.col("word").alias("x"), "rest", F.col("e").alias("e1")), told.select(F.col("word").alias("y"), "rest", F.col("e").alias("e2"))
     apart = pairs.join(mine, "x").join(theirs, ["y", "rest"]).filter("e1 <> e2").select("x", "y").distinct()
     hits = hits.join(apart.withColumn("apart", F.lit(True)), ["x", "y"], "left").filter("apart is null")
