@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 
 from kgloom.scratch import Scratch
 
-WILD = "<*>"
+#: Stands for a number or code in a segment or for different words of messages, and for other words in which the segments of a template differ.
+WILD, OPEN = "<*>", "<?>"
 
 #: Words of messages, navigation and filler in the four languages; small words that any text has.
 MESSAGE_WORDS = frozenset("""
@@ -63,7 +64,7 @@ TRIGGER = re.compile(
     r"session (has )?expired|sitzung|votre session|su sesión|sign in|log ?in|anmelden|identifiez|inicie sesión|not found|could not be found|introuvable|nicht gefunden|no encontrada|"
     r"no longer available|moved or deleted|supprimé|déplacé|gelöscht|verschoben|eliminado|movido|existiert|n existe|no existe|unable to service|down for maintenance|nicht erreichbar|indisponible|no disponible|"
     r"timed out|timeout|zeitüberschreitung|délai dépassé|tiempo agotado|too many requests|retry after|bad gateway|unusual traffic|verify that you|checking your|do not have permission|traceback|"
-    r"undefined variable|failed to load|database connection|went wrong|link may be broken|status code|could not start|cannot be drawn|gone|unavailable|turn it on|enable it|switch on|unauthori[sz]ed|try again later|oops|freigeben|unexpected (<\*> )?condition"
+    r"undefined variable|failed to load|database connection|went wrong|link may be broken|status code|could not start|cannot be drawn|gone|unavailable|turn it on|enable it|switch on|unauthori[sz]ed|try again later|oops|freigeben|unexpected (<.> )?condition"
 )
 FILLER = re.compile(
     r"lorem|ipsum|dolor sit amet|sample text|placeholder copy|do not publish|your text here|insert (\w+ )*here|text goes here|beispieltext|blindtext|platzhaltertext|texte à remplacer|faux texte|texto de ejemplo|texto de relleno|"
@@ -120,7 +121,7 @@ def segments(text: str) -> list[str]:
 
 
 def classify(template: str) -> str:
-    """``message``, ``filler``, ``furniture`` or ``ordinary``."""
+    """``message``, ``filler``, ``furniture`` or ``ordinary``. Places where segments differ count as words that are not known."""
     t = template.split(" ")
     w = [x for x in t if x != WILD]
     if FILLER.search(template):
@@ -162,7 +163,7 @@ este contenido no está disponible en su país|página no encontrada|se ha produ
 
 def _features(template: str) -> list[int]:
     """Hashed words, pairs of neighbours and stems of a template; wildcards tell nothing."""
-    w = [x for x in template.split(" ") if x != WILD]
+    w = [x for x in template.split(" ") if x not in (WILD, OPEN)]
     f = [*w, *(x[:5] + "~" for x in w if len(x) > 5), *map(" ".join, zip(w, w[1:]))]
     return [xxhash.xxh3_64_intdigest(x) & 0xFFFF for x in f]
 
@@ -224,6 +225,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slots, pa.bool_()), pa.array(keys, pa.list_(pa.int64())), pa.array(segs, pa.list_(pa.string()))], ["id", "slot", "keys", "segs"])
 
 
+_KNOWN = MESSAGE_WORDS | FURNITURE_WORDS | SMALL_WORDS | {WILD}
+
+
+def merged(x: str, y: str) -> str:
+    """What a template has where its segments differ: a wildcard if all that stands there belongs to messages, else an open place."""
+    return x if x == y else WILD if x in _KNOWN and y in _KNOWN else OPEN
+
+
 class Leaf:
     """The templates of one leaf of the tree.
 
@@ -270,9 +279,9 @@ class Leaf:
                 self._index(which, range(n))
         elif best < n:
             m = self.templates[which]
-            self.templates[which] = [x if x == y else WILD for x, y in zip(m, t)]
+            self.templates[which] = [merged(x, y) for x, y in zip(m, t)]
             if self.post is not None:
-                self._index(which, [p for p in range(n) if m[p] != t[p] and m[p] != WILD])
+                self._index(which, [p for p in range(n) if self.templates[which][p] != m[p]])
         self.support[which] += support
         return which
 

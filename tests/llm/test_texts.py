@@ -187,7 +187,7 @@ def brute_leaf(segs, share):
             which = len(templates)
             templates.append(t)
         else:
-            templates[which] = [x if x == y else residue.WILD for x, y in zip(templates[which], t)]
+            templates[which] = [residue.merged(x, y) for x, y in zip(templates[which], t)]
         ids.append(which)
     return templates, ids
 
