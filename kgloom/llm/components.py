@@ -68,5 +68,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, least_
         s.drop(p)
         p, depth = nxt, (depth + 1) // 2
     full = p.union(p.select("root", "root").distinct())
-    least = full.groupBy("root").agg(F.min("v").alias("group"))
+    # Cut, so that the rows of a giant component are joined to its label in parts.
+    least = s.cut(full.groupBy("root").agg(F.min("v").alias("group")))
     return full.join(least, "root").select("v", "group").distinct()

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from kgloom.scratch import Scratch
 
@@ -149,6 +150,22 @@ def fuse(lists: DataFrame, item: list[str], key: str, value: str, weights: dict[
     return wide.select(*item, F.exp(sum(logs[1:], logs[0])).alias("fused"), *[f"s_{k}" for k in weights])
 
 
+def ranked(fused: DataFrame, group: str, score: str, ident: str) -> DataFrame:
+    """(group, ident, score, rnk): the rank of every item in its group, ties to the smaller identifier.
+
+    Rows are put in order through ranges of (group, score, identifier), so that a large group lies
+    in many parts; a row's rank is its place in its part and the rows of its group in earlier parts.
+    """
+    s = Scratch(fused.sparkSession, "ranked")
+    order = [F.col(score).desc(), F.col(ident)]
+    rows = s.cut(fused.select(group, ident, score).repartitionByRange(F.col(group), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = rows.groupBy(group, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = s.cut(sizes.withColumn("_before", F.coalesce(before, F.lit(0))).filter("_before > 0").drop("_n"))
+    at = F.row_number().over(Window.partitionBy(group, "_part").orderBy(*order))
+    return rows.withColumn("_at", at).join(sizes, [group, "_part"], "left").select(group, ident, score, (F.col("_at") + F.coalesce("_before", F.lit(0))).cast("int").alias("rnk"))
+
+
 def duel(x: Column, y: Column, weights: dict[str, float]) -> Column:
     """How far the fused score of x is above that of y, on a logarithmic scale, where each list is standardised over these two.
 

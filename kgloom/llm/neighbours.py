@@ -275,6 +275,7 @@ def neighbours(vectors: DataFrame, ident: str, vector: str, *, k: int = 10, leas
     lists = met.groupBy("id").agg(best.alias("near")).select("id", F.transform("near", lambda e: F.struct(e["id"].alias("id"), (-e["nc"]).alias("cosine"))).alias("near"))
     # Copies after those: the k smallest of their direction are their neighbours.
     heads = seen.filter(F.col("copy") <= k).groupBy("key").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max("copy").alias("c")).filter(F.col("c") >= k)
+    heads = s.cut(heads)  # so that copies of one direction, however many, are joined in parts
     late = rows.join(seen.select("id", "key"), ["id", "key"], "left_anti").join(heads, "key")
     return lists.unionByName(late.select("id", F.transform("ids", lambda i: F.struct(i.alias("id"), F.lit(1.0).alias("cosine"))).alias("near")))
 

@@ -64,6 +64,14 @@ reach(a, b) as (select a, b from e union select r.a, e.b from reach r join e on
 select a mapping_id, least(a, min(b)) group_id from reach group by a
 """
 
+P2_SUPPORT = f"""
+{P2_FOUND.replace('select a mapping_id', ', found as (select a mapping_id', 1).rstrip()}),
+size as (select group_id, count(*) n_records from found group by 1),
+agg as (select cluster_key, max(cluster_support) best_support, count(*) n_candidates from (select distinct * from aggregated_candidates) group by 1)
+select group_id, max(best_support) best_support, sum(n_candidates)::bigint n_candidates, count(*) n_fragments, any_value(n_records) n_records
+from agg join found on cluster_key = mapping_id join size using (group_id) group by group_id
+"""
+
 _VECTORS = """
 v0 as (select vec_id, embedding from concept_vectors union select vec_id, embedding from name_vectors),
 v1 as (select vec_id, embedding::double[] e from v0 where embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0
@@ -129,4 +137,16 @@ dg as (select doc_id, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w
 select distinct doc_id, item_id from dg join qg using (g)
 """
 
-ORACLES = {"p1_found": P1_FOUND, "p1_pairs": P1_PAIRS, "p5_agreement": P5_AGREEMENT, "p2_found": P2_FOUND, "p3_exact": P3_EXACT, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}
+P8_SPANS = r"""
+with q as (select distinct item_id, field, regexp_extract_all(lower(t), '[\p{L}\p{N}]+') w from
+             (select item_id, 'question' field, question t from qa_items where split in ('test', 'dev')
+              union all select item_id, 'passage', passage from qa_items where split in ('test', 'dev'))),
+qg as (select distinct item_id, field, array_to_string(w[i:i + 11], ' ') g from (select item_id, field, w, unnest(range(1, len(w) - 10)) i from q where len(w) >= 12)),
+d as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') w from documents where text is not null),
+dg as (select doc_id, i, array_to_string(w[i:i + 11], ' ') g from (select doc_id, w, unnest(range(1, len(w) - 10)) i from d where len(w) >= 12)),
+h as (select doc_id, item_id, field, i, i - lag(i) over (partition by doc_id, item_id, field order by i) step from dg join qg using (g)),
+s as (select *, sum(case when step <= 12 then 0 else 1 end) over (partition by doc_id, item_id, field order by i) span from h)
+select doc_id, item_id, field, min(i) - 1 start_word, max(i) - min(i) + 12 n_words from s group by doc_id, item_id, field, span
+"""
+
+ORACLES = {"p2_support": P2_SUPPORT, "p8_spans": P8_SPANS, "p1_found": P1_FOUND, "p1_pairs": P1_PAIRS, "p5_agreement": P5_AGREEMENT, "p2_found": P2_FOUND, "p3_exact": P3_EXACT, "p5_found": P5_FOUND, "p5_ranking": P5_RANKING, "p6_found": P6_FOUND, "p8_found": P8_FOUND}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kgloom.catalog import spread, table
 from kgloom.functions.text import normal_cui, normal_form
 from kgloom.llm import canonical, components, fusion, leakage, neighbours, packing, residue, survivor, topn
+from kgloom.scratch import Scratch
 
 #: The fields that survive one by one, and the score lists that make one order.
 FIELDS = ("cui", "name", "confidence", "semantic_types")
@@ -23,8 +24,8 @@ def _pipeline(spark: SparkSession, d: str) -> DataFrame:
 
 def _fields(spark: SparkSession, d: str) -> DataFrame:
     """One row for each usable field value of a record that has an entity: form, field_name, tokens, rank, payload."""
-    runs = F.broadcast(table(spark, d, "mapping_runs").select("run_id", "trust").distinct())  # a row per run; eight of them
-    known = F.broadcast(table(spark, d, "umls_concepts").select(F.col("cui").alias("known")).distinct())  # the fixed vocabulary
+    runs = table(spark, d, "mapping_runs").select("run_id", "trust").distinct()
+    known = table(spark, d, "umls_concepts").select(F.col("cui").alias("known")).distinct()  # broadcast by the planner only while it is small
     m = _pipeline(spark, d).select("mapping_id", normal_form(F.col("entity")).alias("form"), *FIELDS, "run_id", "updated_at").filter("form <> ''")
     m = m.join(runs, "run_id", "left").join(known, F.col("cui") == F.col("known"), "left")
     # Words of a name, elements of a list; other fields are one token.
@@ -96,7 +97,8 @@ def p1_votes(spark: SparkSession, d: str) -> DataFrame:
 def _ties(spark: SparkSession, d: str) -> DataFrame:
     """(a, b) ties between records: each to the least record of its form, forms to forms, pairs judged true."""
     m = _pipeline(spark, d).select("mapping_id", normal_form(F.col("entity")).alias("form"), "cluster_members")
-    forms = m.filter("form <> ''").groupBy("form").agg(F.min("mapping_id").alias("head"))
+    # Cut, so that an entity that very many records name is joined in parts.
+    forms = Scratch(spark, "forms").cut(m.filter("form <> ''").groupBy("form").agg(F.min("mapping_id").alias("head")))
     own = m.filter("form <> ''").select("mapping_id", "form")
     named = m.select("mapping_id", F.explode("cluster_members").alias("e")).select("mapping_id", normal_form(F.col("e")).alias("form")).filter("form <> ''")
     by_form = own.union(named).distinct().join(forms, "form").select(F.col("mapping_id").alias("a"), F.col("head").alias("b"))
@@ -183,24 +185,17 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Every candidate of every mapping with its fused score and rank; ties to the smaller cui."""
-    from pyspark.sql.window import Window
-
     f = fusion.fuse(_lists(spark, d), ["mapping_id", "cui"], "list", "score", LISTS)
-    f = f.withColumn("fused", F.round("fused", 9))
-    return f.select("mapping_id", "cui", "fused", F.row_number().over(Window.partitionBy("mapping_id").orderBy(F.desc("fused"), "cui")).alias("rnk"))
+    return fusion.ranked(f.select("mapping_id", "cui", F.round("fused", 9).alias("fused")), "mapping_id", "fused", "cui")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    from kgloom.scratch import Scratch
-
     f = fusion.fuse(_lists(spark, d), ["mapping_id", "cui"], "list", "score", LISTS)
     return fusion.majority_winner(Scratch(spark, "p5").cut(f), "mapping_id", "cui", LISTS)
 
 
 def p5_agreement(spark: SparkSession, d: str) -> DataFrame:
     """How many mappings have a winner of all duels, and how often it is the first of the ranking over all items."""
-    from kgloom.scratch import Scratch
-
     f = Scratch(spark, "p5").cut(fusion.fuse(_lists(spark, d), ["mapping_id", "cui"], "list", "score", LISTS))
     first = f.groupBy("mapping_id").agg(F.min(F.struct((-F.round("fused", 9)).alias("f"), "cui")).alias("x"), F.count("*").alias("n")).filter("n > 1")
     won = fusion.majority_winner(f, "mapping_id", "cui", LISTS).select("mapping_id", F.col("cui").alias("won"))
