@@ -41,14 +41,7 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
         one("semantic_types", F.size("semantic_types") > 0, types),
     )
     # Compares as the rows rank: trust, then time, each with null last, then the smaller identifier.
-    digits = lambda c, n: F.lpad(c.cast("string"), n, "0")
-    shift = lambda c: c.cast("decimal(20,0)") + F.lit(10**18)
-    when = F.unix_micros("updated_at")
-    rank = F.concat(
-        F.when(F.col("trust").isNull(), F.lit("0" * 21)).otherwise(F.concat(F.lit("1"), digits(shift(F.col("trust")), 20))),
-        F.when(when.isNull(), F.lit("0" * 21)).otherwise(F.concat(F.lit("1"), digits(shift(when), 20))),
-        digits(F.lit(2 * 10**18).cast("decimal(20,0)") - F.col("mapping_id").cast("decimal(20,0)"), 20),
-    )
+    rank, when = F.struct("trust", "updated_at", (-F.col("mapping_id")).alias("id")), F.unix_micros("updated_at")
     u = F.filter(usable, lambda x: x.isNotNull())
     # A row's votes: trust of its run, times its usable fields, times a part that grows with its time.
     months = F.coalesce(F.floor(F.greatest(F.lit(0), F.least(when, F.lit(4 * 10**15))) / F.lit(30 * 86_400_000_000)), F.lit(0))
