@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StringType
 
 #: Fixed value: characters taken off both ends of a name.
 EDGE = " .,;:()[]{}\"'-"
@@ -94,13 +97,43 @@ def ngrams(c: Column, n: int = 3) -> Column:
     return F.when(F.length(x) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.substring(x, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def json_object(c: Column) -> Column:
-    """The first JSON object within a text, braces nested up to four deep, as JSON text; null if it does not parse."""
-    inner = r"[^{}]*"
-    for _ in range(3):
-        inner = r"(?:[^{}]|\{" + inner + r"\})*"
-    found = F.regexp_extract(c, r"\{" + inner + r"\}", 0)
-    return F.when(F.try_parse_json(found).isNotNull() & (found != ""), found)
+def first_json(s: str | None) -> str | None:
+    """The first JSON object within a text, of any length; null if the first balanced braces hold none.
+
+    What begins at the first brace is read by a JSON parser, which minds braces in strings. Where that
+    fails, the first brace that is ever closed counts, found in one pass over the text.
+    """
+    at = s.find("{") if s is not None else -1
+    if at < 0:
+        return None
+    try:
+        return s[at : json.JSONDecoder().raw_decode(s, at)[1]]
+    except (ValueError, RecursionError):
+        pass
+    open_, best = [], None
+    for m in re.finditer(r"[{}]", s):
+        if m[0] == "{":
+            open_.append(m.start())
+        elif open_:
+            start = open_.pop()
+            if best is None or start < best[0]:
+                best = (start, m.end())
+            if not open_:
+                break
+    # With a brace left open before it, an object that is closed may still hold others; the least start stands.
+    if best is None:
+        return None
+    try:
+        json.loads(s[best[0] : best[1]])
+    except (ValueError, RecursionError):
+        return None
+    return s[best[0] : best[1]]
+
+
+@F.pandas_udf(StringType())
+def json_object(c: pd.Series) -> pd.Series:
+    """The first JSON object within each text, as JSON text; null if there is none. A regular expression in the JVM would recurse once a character."""
+    return pd.Series([first_json(s) for s in c], dtype=object)
 
 
 @F.pandas_udf(DoubleType())
@@ -111,6 +144,11 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x.lower(), y.lower()).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def may_reach(a: Column, b: Column, ratio: float) -> Column:
+    """Whether the lengths of two texts let their :func:`sequence_ratio` exceed ``ratio``: it is at most twice the shorter over both."""
+    return 2 * F.least(F.length(a), F.length(b)) > ratio * (F.length(a) + F.length(b))
+
+
 def lookup_key(c: Column) -> Column:
     """The key under which names are looked up: normalised, then abbreviations expanded."""
     return expand(name(c))

@@ -13,14 +13,16 @@ def star_components(edges: DataFrame, s: Scratch) -> DataFrame:
     e, before, old = edges, None, None
     while True:
         # Large star: every larger neighbour of a vertex is tied to the least of it and its neighbours.
-        m = e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # What is joined back to the rows it comes from is cut, so that a hub's rows are joined in parts.
+        m = s.cut(e.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = e.join(m, "a").filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("w")).distinct()
         # Small star: a vertex and its smaller neighbours are tied to the least of them.
-        least = large.groupBy("u").agg(F.min("w").alias("m"))
+        large = s.cut(large)
+        least = s.cut(large.groupBy("u").agg(F.min("w").alias("m")))
         tied = large.join(least, "u").select(F.col("w").alias("u"), F.col("m").alias("w")).filter("u <> w").union(least.select("u", F.col("m").alias("w"))).distinct()
         now = s.cut(tied)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "w").cast("decimal(38,0)"))).first())
-        s.drop(old)
+        s.drop(old, m, large, least)
         if state == before:
             return now.select(F.col("u").alias("v"), F.col("w").alias("root"))
         before, old = state, now

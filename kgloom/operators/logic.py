@@ -42,6 +42,14 @@ def unpack(packed: list[int]) -> list[tuple[str, int]]:
     return out
 
 
+def _name(n: int) -> str:
+    """A .. Z, then AA, AB and so on."""
+    out = ""
+    while n >= 0:
+        out, n = chr(ord("A") + n % 26) + out, n // 26 - 1
+    return out
+
+
 def show(program: list[tuple[str, int]]) -> list[str]:
     """One line for each operation, naming results A, B, ... in order."""
     stack, lines = [], []
@@ -49,7 +57,7 @@ def show(program: list[tuple[str, int]]) -> list[str]:
         if op == "entity":
             stack.append(str(arg))
             continue
-        name = chr(ord("A") + len(lines))
+        name = _name(len(lines))
         if op in ("projection", "negation"):
             x = stack.pop()
             lines.append(f"{name} <- projection_{arg}({x})" if op == "projection" else f"{name} <- negation({x})")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgloom.functions.text import lookup_key, ngrams, sequence_ratio
+from kgloom.functions.text import lookup_key, may_reach, ngrams, sequence_ratio
 
 #: Semantic types by group, and the group that a relation around an entity tells.
 TYPE_GROUPS = {
@@ -133,7 +133,7 @@ def hard_negatives(candidates: DataFrame, concepts: DataFrame, *, mode: str = "c
     """
     c = candidates.filter(F.col("rnk") <= k) if mode == "script" else candidates
     a, b = c.select("entity", "cui", "name", "rnk"), c.select("entity", F.col("cui").alias("cui2"), F.col("name").alias("name2"), F.col("rnk").alias("rnk2"))
-    p = a.join(b, "entity").filter("rnk < rnk2 and cui <> cui2").withColumn("sim", sequence_ratio("name", "name2")).filter("sim > 0.7")
+    p = a.join(b, "entity").filter("rnk < rnk2 and cui <> cui2").filter(may_reach(F.col("name"), F.col("name2"), 0.7)).withColumn("sim", sequence_ratio("name", "name2")).filter("sim > 0.7")
     each = F.lit(0.05) if mode == "script" else (F.col("sim") - 0.7) * 0.5
     p = p.withColumn("pen", each)
     pen = p.select("entity", "cui", "pen").unionByName(p.select("entity", F.col("cui2").alias("cui"), "pen")).groupBy("entity", "cui").agg(F.sum("pen").alias("penalty"))

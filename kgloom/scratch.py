@@ -15,9 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The shared folder; a local one is set only where the cluster names none (tests)."""
+    """The shared folder; a local one is set only where a local session names none (tests). On a cluster a folder of one machine would lose rows."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="kgloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")

@@ -38,6 +38,14 @@ def test_ngrams_and_json(spark):
     assert one(spark, text.ngrams(F.col("s")), s="ab") == []
     assert one(spark, text.json_object(F.col("s")), s='noise {"a": {"b": [1]}} tail') == '{"a": {"b": [1]}}'
     assert one(spark, text.json_object(F.col("s")), s="{broken") is None
+    deep = '{"a": ' * 10 + "1" + "}" * 10
+    assert one(spark, text.json_object(F.col("s")), s="x " + deep + " z") == deep
+    long = '{"c": "' + "y" * 1_000_000 + '", "d": "brace } in {a string"}'
+    assert one(spark, text.json_object(F.col("s")), s="x " + long + " z {") == long
+    assert one(spark, text.json_object(F.col("s")), s='{ open {"k": 1} and {"k": 2}') == '{"k": 1}'
+    assert one(spark, text.json_object(F.col("s")), s="{'k': 1}") is None
+    assert one(spark, text.json_object(F.col("s")), s="{" * 100_000) is None
+    assert one(spark, text.json_object(F.col("s")), s="no object") is None
 
 
 @settings(max_examples=15, deadline=None)
