@@ -6,37 +6,59 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: At most so many query vectors go to the executors at a time.
-BLOCK = 4096
+from kgloom.scratch import Scratch
+
+#: So many index rows and so many query vectors, about, meet in a task.
+PART, BLOCK = 16384, 4096
 #: Share of the cells that a query looks into: the test vectors, which have few clusters, need 0.6 for nine in ten of the true neighbours.
 SHARE = 2 / 3
 
 
-def _scan(ids: np.ndarray, keys: list, q: np.ndarray, k: int, least: float, apart: bool):
-    """The best ``k`` of each query within each batch; what is kept of a batch does not grow with it."""
+def _vectors(col: pa.Array) -> np.ndarray:
+    """A list column of equally long vectors as a matrix, without Python objects."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(col), -1)
+
+
+def _meet(k: int, least: float, apart: bool):
+    """Streams rows (cell, role, id, vec, key) sorted by cell and role: part of the index, then queries; gives the best ``k`` of each query within the cell, with ties."""
+
+    def best(q_id, q, q_key, m_id, m, m_key):
+        sims = q @ m.T
+        if apart:
+            sims[q_key[:, None] == m_key[None, :]] = -np.inf
+        sims[q_id[:, None] == m_id[None, :]] = -np.inf
+        n = min(k, sims.shape[1])
+        # Ties at the cut are all kept; the window that follows settles them.
+        floor = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
+        r, c = np.nonzero((sims >= np.maximum(floor - 1e-9, least - 1e-9)[:, None]) & np.isfinite(sims))
+        return pa.RecordBatch.from_arrays([pa.array(q_id[r]), pa.array(m_id[c]), pa.array(sims[r, c])], ["query", "entity", "score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, []
         for b in batches:
             if not b.num_rows:
                 continue
-            m_id = b.column(0).to_numpy(zero_copy_only=False)
-            m = np.array(b.column(1).to_pylist(), np.float64)
-            sims = q @ m.T
-            if keys[0] is not None:
-                block = np.array(b.column(2).to_pylist(), object)
-                same = np.array(keys, object)[:, None] == block[None, :]
-                sims = np.where(same != apart, sims, -np.inf)
-            sims = np.where(ids[:, None] == m_id[None, :], -np.inf, sims)
-            n = min(k, sims.shape[1])
-            # Ties at the cut are all kept; the window that follows settles them.
-            floor = np.partition(sims, sims.shape[1] - n, axis=1)[:, sims.shape[1] - n]
-            r, c = np.nonzero((sims >= np.maximum(floor - 1e-9, least - 1e-9)[:, None]) & np.isfinite(sims))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(m_id[c]), pa.array(sims[r, c])], ["query", "entity", "score"])
+            cells, roles, ids = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            vec, keys = _vectors(b.column(3)), b.column(4).to_numpy(zero_copy_only=False)
+            edge = np.flatnonzero(np.diff(cells) | np.diff(roles)) + 1
+            for lo, hi in zip([0, *edge], [*edge, len(cells)]):
+                if cells[lo] != cell:
+                    cell, held = cells[lo], []
+                part = (ids[lo:hi], vec[lo:hi], keys[lo:hi])
+                if roles[lo] == 0:
+                    held.append(part)
+                elif held:
+                    if len(held) > 1:
+                        held = [tuple(np.concatenate(x) for x in zip(*held))]
+                    for at in range(0, hi - lo, 1024):
+                        yield best(*(x[at : at + 1024] for x in part), *held[0])
 
     return run
 
@@ -45,29 +67,27 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, least: float = -2.0, *,
     """(query, entity, score, rnk): the ``k`` most similar entities of each query, itself left out, at or above ``least``.
 
     ``queries`` and ``index``: id, vec (unit length) and, with ``block``, that column,
-    in which both must agree (or, ``apart``, differ). Queries go to the index in blocks of
-    a fixed size, so neither side is ever broadcast whole; each partition of the index
-    gives at most ``k`` and ties per query. For an index too large for that, the
-    forest search over leaves is the way. Vectors that are null are left out.
+    in which both must agree (or, ``apart``, differ). The index is divided into parts of ``PART`` rows and
+    the queries into blocks of ``BLOCK``; each block meets each part in a task of its own, and
+    where blocks must agree only parts of that block: pairs across are never multiplied. A part
+    gives at most ``k`` and ties per query. Nothing is collected or broadcast. For an index
+    too large for that, the cells or the forest are the way. Vectors that are null are left out.
     """
+    key = F.xxhash64(F.col(block)) if block else F.lit(0).cast("long")
+    vec = F.transform("vec", lambda x: x.cast("double")).alias("vec")
+    pick = lambda df: df.filter("vec is not null").select(F.col("id").cast("long").alias("id"), vec, key.alias("key"))
+    q, m = pick(queries), pick(index)
+    parts, blocks = max(1, -(-m.count() // PART)), max(1, -(-q.count() // BLOCK))
+    within = F.col("key") if block and not apart else F.lit(0)
+    every = lambda n, c: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), c)).alias("cell")
+    cell = lambda p, s: F.xxhash64(within, p, s)
+    mine = m.select(every(blocks, lambda s: cell(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"), s)), F.lit(0).cast("byte").alias("role"), "id", "vec", "key")
+    theirs = q.select(every(parts, lambda p: cell(p, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))), F.lit(1).cast("byte").alias("role"), "id", "vec", "key")
     spark = queries.sparkSession
-    cols = ["id", "vec"] + ([block] if block else [])
-    q = queries.select(*cols).filter("vec is not null")
-    n = q.count()
-    blocks = max(1, -(-n // BLOCK))
-    out = None
-    for i in range(blocks):
-        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
-        if not part:
-            continue
-        vec = np.array([list(r.vec) for r in part], np.float64)
-        keys = [r[block] if block else None for r in part]
-        got = index.select(*cols).filter("vec is not null").mapInArrow(_scan(np.array([r.id for r in part]), keys, vec, k, least, apart), "query long, entity long, score double")
-        out = got if out is None else out.unionByName(got)
-    if out is None:
-        return spark.createDataFrame([], "query long, entity long, score double, rnk int")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * parts * blocks)
+    met = mine.unionByName(theirs).repartition(wide, "cell").sortWithinPartitions("cell", "role").mapInArrow(_meet(k, least, apart), "query long, entity long, score double")
     w = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "entity")
-    return out.filter(F.round("score", 9) >= least).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+    return met.filter(F.round("score", 9) >= least).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
 
 
 def normalise(linked: DataFrame) -> DataFrame:
@@ -86,6 +106,57 @@ class EntityIndex:
         return normalise(top_k(queries, self.entities, k))
 
 
+def late_interaction(queries: DataFrame, index: DataFrame, k: int = 1, *, exact: bool = False) -> DataFrame:
+    """(query, entity, score, norm_score, rnk): per query the ``k`` entities of greatest late interaction of their token vectors.
+
+    ``queries``: id, name, token (array of unit vectors); ``index``: id, name, token. Queries come out under
+    their normalised name, by which callers must look them up; those of one normalised name are one query, the one of the
+    smallest id. A token of a query meets a token of an entity in an equi-join on the nearest
+    of a bounded set of centres, as late-interaction indexes do; only entities met so are scored, in full.
+    ``exact`` scores a stated query set against all entities, which come in parts.
+    """
+    from kgloom.functions.text import phrase
+    from kgloom.functions.vectors import dot
+
+    s = Scratch(queries.sparkSession, "late")
+    q = s.cut(queries.select(phrase(F.col("name")).alias("query"), "id", "token").groupBy("query").agg(F.min_by("token", "id").alias("qt")))
+    m = s.cut(index.select(F.col("id").alias("eid"), F.col("name").alias("entity"), F.col("token").alias("et")))
+    w = Window.partitionBy("query").orderBy(F.desc("score"), "entity", "eid")
+    best = F.aggregate(F.transform("qt", lambda u: F.array_max(F.transform("et", lambda v: dot(u, v)))), F.lit(0.0), lambda a, b: a + b)
+    if exact:
+        parts = max(8, -(-m.count() // 1024))
+        x = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(m.withColumn("part", F.pmod(F.xxhash64("eid"), F.lit(parts)).cast("int")), "part")
+        top = x.select("query", "entity", "eid", F.round(best, 9).alias("score")).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+        return normalise(top.select("query", "entity", "score", "rnk"))
+    cell = token_cells(m.select(F.explode("et").alias("v")))
+    met = q.select("query", F.explode("qt").alias("v")).select("query", F.explode(cell(F.col("v"), 2)).alias("c")).distinct()
+    held = m.select("eid", F.explode("et").alias("v")).select("eid", F.explode(cell(F.col("v"), 1)).alias("c")).distinct()
+    pairs = met.join(held, "c").select("query", "eid").distinct()
+    x = pairs.join(q, "query").join(m, "eid")
+    top = x.select("query", "entity", "eid", F.round(best, 9).alias("score")).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+    return normalise(top.select("query", "entity", "score", "rnk"))
+
+
+def token_cells(tokens: DataFrame, cells: int = 16, sample: int = 4096):
+    """A function of a vector column and a number: the that many nearest of ``cells`` centres, fitted on at most ``sample`` vectors. Few tokens have few centres: below 15 there is one, and every pair meets."""
+    fit = [list(r.v) for r in tokens.select("v").orderBy(F.xxhash64("v")).limit(sample).collect()]
+    centres = inverted_lists(np.array(fit, np.float64), 1 if len(fit) < 15 else cells) if fit else np.zeros((1, 1))
+
+    @F.pandas_udf("array<int>")
+    def nearest(v: pd.Series, n: pd.Series) -> pd.Series:
+        near = np.array(v.tolist(), np.float64) @ centres.T
+        return pd.Series([np.argsort(-r, kind="stable")[:k].tolist() for r, k in zip(near, n)])
+
+    return lambda v, n: nearest(v, F.lit(n))
+
+
+def coerced(results: Column, fallback: float = 0.0) -> Column:
+    """The same of a column of JSON results: the score, similarity or relevance_score of a mapping, or of the first of a list; else the fallback."""
+    one = F.coalesce(F.get_json_object(results, "$[0]"), results)
+    key = lambda k: F.when(F.get_json_object(one, f"$.{k}").rlike(r"^-?[0-9.]+([eE][-+]?[0-9]+)?$"), F.get_json_object(one, f"$.{k}").try_cast("double"))
+    return F.coalesce(key("score"), key("similarity"), key("relevance_score"), F.lit(fallback))
+
+
 def coerce_score(result: dict | str | None, fallback: float = 0.0) -> float:
     """A number out of what a search returned: score, similarity or relevance_score of a mapping, else the fallback."""
     if isinstance(result, list):

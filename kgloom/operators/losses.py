@@ -26,6 +26,23 @@ def binary(preds: DataFrame, temperature: float = 0.0) -> DataFrame:
     return x.groupBy("sample").agg(F.round((F.coalesce(pos, F.lit(0.0)) + F.coalesce(w_neg, F.lit(0.0))) / 2, 6).alias("loss"))
 
 
+def completion(preds: DataFrame, temperature: float = 0.0) -> DataFrame:
+    """(sample, loss): cross entropy of one true tail against sampled negatives, which together weigh as much as it. ``preds``: sample, score, is_target.
+
+    Negatives weigh alike or, with a temperature, by the softmax of their logits.
+    """
+    neg = ~F.col("is_target")
+    x = preds.withColumn("l", _bce(F.col("score"), F.col("is_target")))
+    if temperature > 0:
+        top = F.max(F.when(neg, F.col("score"))).over(Window.partitionBy("sample"))
+        x = x.withColumn("w", F.when(neg, F.exp((F.col("score") - top) / temperature)).otherwise(0.0))
+    else:
+        x = x.withColumn("w", neg.cast("double"))
+    of_neg = F.coalesce(F.try_divide(F.sum(F.col("w") * F.col("l")), F.sum("w")), F.lit(0.0))
+    n_pos, pos, any_neg = F.count_if(~neg), F.coalesce(F.sum(F.when(~neg, F.col("l"))), F.lit(0.0)), F.max(neg.cast("int"))
+    return x.groupBy("sample").agg(F.round((pos + of_neg) / (n_pos + any_neg), 6).alias("loss"))
+
+
 def listwise(preds: DataFrame) -> DataFrame:
     """(sample, loss): minus the log of each target's share of all probabilities, averaged over targets; samples without targets have no row."""
     p = 1 / (1 + F.exp(-F.col("score")))

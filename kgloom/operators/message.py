@@ -128,6 +128,25 @@ def linear(weights: list[list[float]], bias: list[float], *, relu: bool = True,
     return run
 
 
+def concat(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(node, x0, ...): each node's vector of ``x`` followed by that of ``y``; a node that ``y`` lacks gets zeros."""
+    n = len(dims(x))
+    more = [F.col(f"x{i}").alias(f"x{n + k}") for k, i in enumerate(dims(y))]
+    z = x.join(y.select("node", *more), "node", "left")
+    return z.select("node", *[f"x{i}" for i in dims(x)], *[F.coalesce(f"x{n + k}", F.lit(0.0)).alias(f"x{n + k}") for k in range(len(more))])
+
+
+def mlp(layers: list[tuple[list[list[float]], list[float]]]) -> Callable[[DataFrame], DataFrame]:
+    """Linear layers one after another, ReLU between them and none after the last; for nodes or, under the name ``node``, for relations."""
+
+    def run(df: DataFrame) -> DataFrame:
+        for i, (weights, bias) in enumerate(layers):
+            df = linear(weights, bias, relu=i + 1 < len(layers))(df)
+        return df
+
+    return run
+
+
 def score(x: DataFrame, weights: list[float], bias: float = 0.0) -> DataFrame:
     """(node, score): a linear read-out of each node's vector."""
     return x.select("node", sum((F.col(f"x{i}") * w for i, w in enumerate(weights)), F.lit(bias)).alias("score"))

@@ -41,6 +41,20 @@ def sampled_hits(rnk: Column, n_candidates: Column, k: int, n_sample: int) -> Co
     return total
 
 
+def directed_metrics(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 10)) -> DataFrame:
+    """(direction, mr, mrr, hits_at_k): over the ranks of both directions ('all') and over those of tails ('tail'). ``ranks``: rnk, head_side."""
+    both = ranks.select("rnk", F.explode(F.when(F.col("head_side"), F.array(F.lit("all"))).otherwise(F.array(F.lit("all"), F.lit("tail")))).alias("direction"))
+    m = [F.avg("rnk").alias("mr"), F.avg(1 / F.col("rnk")).alias("mrr"), *[F.avg((F.col("rnk") <= k).cast("double")).alias(f"hits_at_{k}") for k in ks]]
+    return both.groupBy("direction").agg(*m).select("direction", *[F.round(c, 6).alias(c) for c in ("mr", "mrr", *(f"hits_at_{k}" for k in ks))])
+
+
+def query_group_averages(rows: DataFrame, kind: str, query: str, value: str) -> DataFrame:
+    """(grp, value): the mean of the kinds' means over all kinds, over those without negation (epfo) and over those with it (negation), which have an ``n`` in their names."""
+    per = rows.groupBy(kind, query).agg(F.avg(value).alias("v")).groupBy(kind).agg(F.avg("v").alias("v"))
+    grp = F.array(F.lit("all"), F.when(F.contains(F.col(kind), F.lit("n")), "negation").otherwise("epfo"))
+    return per.select(F.explode(grp).alias("grp"), "v").groupBy("grp").agg(F.round(F.avg("v"), 6).alias("value"))
+
+
 def mape(preds: DataFrame) -> DataFrame:
     """One row: mean relative error of a count against the true one. ``preds``: predicted, actual."""
     return preds.agg(F.round(F.avg(F.abs(F.col("predicted") - F.col("actual")) / (F.col("actual") + F.lit(1e-10))), 6).alias("mape"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +69,39 @@ def _best(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
+def limit_nodes(scores: DataFrame, allowed: DataFrame) -> DataFrame:
+    """Scores of the nodes that may be ranked; a semi-join in place of setting all others to minus infinity."""
+    return scores.join(allowed.select("node").distinct(), "node", "left_semi")
+
+
+def complete_samples(samples: DataFrame, *masks: DataFrame) -> DataFrame:
+    """Samples that have a row in each of the masks (sample, ...): a question without start, target or document is left out."""
+    for m in masks:
+        samples = samples.join(m.select("sample").distinct(), "sample", "left_semi")
+    return samples
+
+
+def seeded_sample(df: DataFrame, ident: str, n: int, seed: int = 0) -> DataFrame:
+    """``n`` rows chosen by a seeded hash of their identifier: the same at every run and every partitioning."""
+    return df.orderBy(F.xxhash64(F.col(ident), F.lit(seed)), ident).limit(n)
+
+
+def answer_queries(queries: DataFrame, mentions: DataFrame, link: Callable[[DataFrame], DataFrame], scores: Callable[[DataFrame], DataFrame], rank: Callable[[DataFrame], DataFrame], documents: DataFrame, k: int) -> DataFrame:
+    """(sample, document, score, norm_score, rnk): retrieval end to end, for all queries at once.
+
+    ``queries``: sample, text; ``mentions``: sample, mention, what entity recognition found. A query without
+    mentions is linked as it stands. ``link`` maps (mention) to (mention, node), the best entity of the graph or none;
+    ``scores`` maps start nodes (sample, node) to node scores (sample, node, score); ``rank`` those to
+    (sample, document, score). A query that links to nothing scores 0 everywhere, and ranks documents by name.
+    """
+    found = mentions.select("sample", "mention").filter("mention <> ''").distinct()
+    whole = queries.join(found.select("sample").distinct(), "sample", "left_anti").select("sample", F.col("text").alias("mention"))
+    m = found.unionByName(whole)
+    linked = link(m.select("mention").distinct())
+    start = m.join(linked, "mention").filter("node is not null").select("sample", "node").distinct()
+    return retrieve(rank(scores(start)), documents, queries, k)
+
+
 def merge_best(*found: DataFrame, k: int) -> DataFrame:
     """(sample, document, score): each document with its best score over several retrievals, the best ``k`` of them."""
     u = found[0].select("sample", "document", "score")

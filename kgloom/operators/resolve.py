@@ -167,6 +167,21 @@ def accept(scored: DataFrame, types: DataFrame, thresholds: dict[str, float] = T
     return x.filter(F.col("score") >= F.coalesce(F.try_element_at(t, F.coalesce("type", F.lit("other"))), F.lit(0.80)))
 
 
+def standalone_scores(pairs: DataFrame, *, embedding: float = 0.85, graph: float = 0.3, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(a, b, score) of pairs (a, b, na, nb, late) without an embedding or graph, for which constants stand; shared words make the lexical part."""
+    from kgloom.functions.text import token_jaccard
+
+    lex = F.coalesce(token_jaccard(F.col("na"), F.col("nb")), F.lit(0.0))
+    return pairs.select("a", "b", F.round(final_score(F.lit(embedding), lex, F.col("late"), F.lit(graph), weights), 9).alias("score"))
+
+
+def type_counts(types: DataFrame) -> DataFrame:
+    """(type, n, percent, confidence): entities of each type, their share in per cent, their mean confidence."""
+    t = types.groupBy("type").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    total = t.agg(F.sum("n").alias("total"))
+    return t.crossJoin(F.broadcast(total)).select("type", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("percent"), F.round("c", 6).alias("confidence"))  # one row
+
+
 def most_certain(types: DataFrame, n: int) -> DataFrame:
     """The ``n`` most certain entities of each type: labelled examples for the vote."""
     w = Window.partitionBy("type").orderBy(F.desc("confidence"), "id")

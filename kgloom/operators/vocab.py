@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from kgloom.functions.text import lookup_key, may_reach, ngrams, sequence_ratio
+from kgloom.functions.text import expand, lookup_key, may_reach, name, ngrams, sequence_ratio
+from kgloom.operators import components, encode
+from kgloom.scratch import Scratch
 
 #: Semantic types by group, and the group that a relation around an entity tells.
 TYPE_GROUPS = {
@@ -46,12 +48,38 @@ def tfidf(names: DataFrame, *, n: int = 3, min_df: int = 2) -> DataFrame:
     return w.withColumn("len", length).select("id", "gram", (F.col("w") / F.col("len")).alias("weight"))
 
 
+def tfidf_against(queries: DataFrame, names: DataFrame, *, n: int = 3, min_df: int = 2) -> DataFrame:
+    """(id, gram, weight): names (id, name) in the terms of an index fitted on ``names``: its frequencies, grams that it lacks dropped, unit length."""
+    grams = lambda d: d.select("id", F.explode(ngrams(F.col("name"), n)).alias("gram"))
+    df = grams(names).distinct().groupBy("gram").agg(F.count("*").alias("df")).filter(F.col("df") >= min_df)
+    total = names.agg(F.count("*").alias("n"))
+    g = grams(queries).groupBy("id", "gram").agg(F.count("*").alias("tf"))
+    w = g.join(df, "gram").crossJoin(F.broadcast(total)).select("id", "gram", (F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1)).alias("w"))  # one row
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id")))
+    return w.withColumn("len", length).select("id", "gram", (F.col("w") / F.col("len")).alias("weight"))
+
+
 def tfidf_candidates(queries: DataFrame, index: DataFrame, k: int, least: float = 0.0) -> DataFrame:
-    """(id, match, score, rnk): per query its ``k`` names of greatest cosine, at or above ``least``. Both sides: id, gram, weight."""
-    q, m = queries.select("id", "gram", F.col("weight").alias("a")), index.select(F.col("id").alias("match"), "gram", F.col("weight").alias("b"))
-    s = q.join(m, "gram").groupBy("id", "match").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("score"))
+    """(id, match, score, rnk): per query its ``k`` names of greatest cosine, at or above ``least``. Both sides: id, gram, weight, of unit length.
+
+    With a floor, a query's lightest grams, which are the most common ones, find no candidates of
+    their own as long as their length together stays below it: a name that shares only those cannot reach it.
+    Candidates of the others get the share of the light grams looked up pair by pair. Both are exact.
+    """
+    m = index.select(F.col("id").alias("match"), "gram", F.col("weight").alias("b"))
+    q = queries.select("id", "gram", F.col("weight").alias("a"))
     w = Window.partitionBy("id").orderBy(F.desc("score"), "match")
-    return s.filter(F.col("score") >= least).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+    ranked = lambda s: s.filter(F.col("score") >= least).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= k)
+    if least <= 0:
+        return ranked(q.join(m, "gram").groupBy("id", "match").agg(F.round(F.sum(F.col("a") * F.col("b")), 9).alias("score")))
+    s = Scratch(queries.sparkSession, "grams")
+    so_far = F.sum(F.col("a") * F.col("a")).over(Window.partitionBy("id").orderBy("a", "gram").rowsBetween(Window.unboundedPreceding, 0))
+    q = s.cut(q.withColumn("upto", so_far).withColumn("light", F.col("upto") < least * least - 1e-6))
+    light = q.filter("light").groupBy("id").agg(F.sqrt(F.max("upto")).alias("rest"))
+    part = q.filter("not light").join(m, "gram").groupBy("id", "match").agg(F.sum(F.col("a") * F.col("b")).alias("p"))
+    part = s.cut(part.join(light, "id", "left").filter(F.col("p") + F.coalesce("rest", F.lit(0.0)) >= least - 1e-6).select("id", "match", "p"))
+    more = part.select("id", "match").join(q.filter("light").select("id", "gram", "a"), "id").join(m, ["match", "gram"]).select("id", "match", (F.col("a") * F.col("b")).alias("p"))
+    return ranked(part.unionByName(more).groupBy("id", "match").agg(F.round(F.sum("p"), 9).alias("score")))
 
 
 def fan_out(candidates: DataFrame, alias_cui: DataFrame, k: int) -> DataFrame:
@@ -210,3 +238,41 @@ def validate(mappings: DataFrame) -> DataFrame:
     """One row of defects: repeated entities, empty ones, empty concepts, confidences out of range."""
     dup = mappings.groupBy("entity").agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("repeated"))
     return mappings.agg(F.count("*").alias("n"), F.count_if(F.col("entity").isNull() | (F.btrim("entity") == "")).alias("empty_entity"), F.count_if(F.col("cui").isNull() | (F.col("cui") == "")).alias("empty_cui"), F.count_if(~F.coalesce(F.col("confidence").between(0, 1), F.lit(False))).alias("bad_confidence")).crossJoin(dup)
+
+
+def preprocess(entities: DataFrame, synonyms: DataFrame) -> DataFrame:
+    """(entity, normalized, expanded, cluster, representative) of distinct entities tied by synonym pairs (a, b).
+
+    Clusters are numbered from 0 in the order of their least entity, which also stands for them;
+    an entity without a synonym is a cluster of its own. Pairs with an entity that is not listed tie nothing.
+    """
+    s = Scratch(entities.sparkSession, "preprocess")
+    e = s.cut(entities.select("entity").filter("entity is not null").distinct())
+    known = synonyms.select("a", "b").join(e.withColumnRenamed("entity", "a"), "a", "left_semi").join(e.withColumnRenamed("entity", "b"), "b", "left_semi")
+    c = components.components(known.select("a", "b")).withColumnRenamed("node", "entity")
+    x = s.cut(e.join(c, "entity", "left").select("entity", F.coalesce("component", "entity").alias("representative")))
+    ids = encode.dense_ids(x.select("representative").distinct(), ["representative"], "cluster")
+    n = name(F.col("entity"))
+    return x.join(ids, "representative").select("entity", n.alias("normalized"), expand(n).alias("expanded"), "cluster", "representative")
+
+
+#: Bounds within which rates and sizes are usual.
+USUAL = {"singleton_rate": (0.3, 0.8), "mean_size": (1.2, 5.0), "expansion_rate": (0.03, 0.5)}
+
+
+def stage_checks(prepared: DataFrame, entities: DataFrame) -> DataFrame:
+    """(check, value, ok) of what :func:`preprocess` made of ``entities``: nothing repeated, empty, missing or added, a cluster per entity; rates and sizes within ``USUAL``."""
+    p, e = prepared, entities.select("entity").filter("entity is not null").distinct()
+    one = p.groupBy("entity").agg(F.count("*").alias("rows"), F.count_distinct("cluster").alias("clusters"))
+    counts = one.agg(F.count_if(F.col("rows") > 1).cast("double").alias("repeated"), F.count_if(F.trim("entity") == "").cast("double").alias("empty"), F.count_if(F.col("clusters") > 1).cast("double").alias("in_many_clusters"))
+    missing = e.join(p.select("entity"), "entity", "left_anti").agg(F.count("*").cast("double").alias("missing"))
+    added = p.select("entity").join(e, "entity", "left_anti").agg(F.count("*").cast("double").alias("added"))
+    sizes = p.groupBy("cluster").agg(F.count("*").alias("n")).agg(F.avg((F.col("n") == 1).cast("double")).alias("singleton_rate"), F.avg("n").alias("mean_size"), F.max("n").cast("double").alias("largest"))
+    rate = p.agg(F.avg((F.col("normalized") != F.col("expanded")).cast("double")).alias("expansion_rate"))
+    row = counts.crossJoin(missing).crossJoin(added).crossJoin(sizes).crossJoin(rate)  # a row each
+    names = row.columns
+    x = row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.round(c, 6).alias("value")) for c in names])).alias("x")).select("x.*")
+    usual = F.when(F.lit(False), True)
+    for c, (lo, hi) in USUAL.items():
+        usual = usual.when(F.col("check") == c, F.col("value").between(lo, hi))
+    return x.withColumn("ok", F.coalesce(usual.when(F.col("check") == "largest", F.lit(True)).otherwise(F.col("value") == 0), F.lit(False)))

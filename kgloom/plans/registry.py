@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from kgloom.plans import evaluate, graph, names, ranking, resolution, streams, vocabulary  # noqa: E402, F401
+from kgloom.plans import evaluate, graph, kinds, linkers, names, ragged, ranking, resolution, streams, vocabulary  # noqa: E402, F401
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -14,6 +14,12 @@ def ext_tumbling(spark, d):
     return ingest.tumbling(table(spark, d, "events"), "1 hour").withColumn("total", F.round("total", 4))
 
 
+@query("ext_sliding", """with w as (select unnest([time_bucket(interval '30 minutes', ts), time_bucket(interval '30 minutes', ts) - interval '30 minutes']) as start, user_id, value from events)
+select start, count(distinct user_id) n_users, count(*) n, round(sum(value), 4) total from w group by 1""")
+def ext_sliding(spark, d):
+    return ingest.sliding(table(spark, d, "events"), "1 hour", "30 minutes").withColumn("total", F.round("total", 4))
+
+
 @query("ext_session", """with e as (select user_id, ts, case when ts - lag(ts) over w >= interval '30 minutes' or lag(ts) over w is null then 1 else 0 end b from events window w as (partition by user_id order by ts)),
 s as (select *, sum(b) over (partition by user_id order by ts, b desc rows unbounded preceding) k from e) select user_id, min(ts) as start, count(*) n from s group by user_id, k""")
 def ext_session(spark, d):
