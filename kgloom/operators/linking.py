@@ -181,6 +181,97 @@ def inverted_lists(sample: np.ndarray, cells: int, rounds: int = 10, seed: int =
     return c
 
 
+class Codebook:
+    """A product quantiser: a vector's parts are each replaced by the nearest of 256 codewords, fitted on a sample."""
+
+    def __init__(self, sample: np.ndarray, parts: int = 8, words: int = 256, rounds: int = 8):
+        self.parts, self.width = parts, -(-sample.shape[1] // parts)
+        self.words = np.stack([self._fit(x, words, rounds) for x in self._split(sample)])
+
+    def _split(self, x: np.ndarray) -> np.ndarray:
+        pad = np.zeros((len(x), self.parts * self.width))
+        pad[:, : x.shape[1]] = x
+        return pad.reshape(len(x), self.parts, self.width).transpose(1, 0, 2)
+
+    @staticmethod
+    def _fit(x: np.ndarray, words: int, rounds: int) -> np.ndarray:
+        c = x[np.random.default_rng(0).permutation(len(x))[:words]]
+        c = np.concatenate([c, np.zeros((words - len(c), x.shape[1]))]) if len(c) < words else c
+        for _ in range(rounds):
+            a = (x @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1)
+            n = np.bincount(a, minlength=words)[:, None]
+            s = np.zeros_like(c)
+            np.add.at(s, a, x)
+            c = np.where(n > 0, s / np.maximum(n, 1), c)
+        return c
+
+    def encode(self, x: np.ndarray) -> np.ndarray:
+        return np.stack([(p @ c.T - (c * c).sum(axis=1) / 2).argmax(axis=1) for p, c in zip(self._split(x), self.words)], axis=1).astype(np.uint8)
+
+    def products(self, q: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """(queries, codes): inner products of queries with what the codes stand for, by table look-up."""
+        out = np.zeros((len(q), len(codes)))
+        for p, (x, c) in enumerate(zip(self._split(q), self.words)):
+            out += (x @ c.T)[:, codes[:, p]]
+        return out
+
+
+def quantised_search(queries: DataFrame, index: DataFrame, k: int, *, rerank: int = 16, parts: int = 16, sample: int = 20000, block: int = 1024) -> DataFrame:
+    """(query, entity, score, rnk): as :func:`top_k`, by codes of ``parts`` bytes a vector, then exactly among the ``rerank`` times ``k`` best of those.
+
+    For a stated set of queries, ``block`` of which go to the index at a time: each task
+    reads its codes and gives a bounded number of candidates a query. The codebook is fitted on at most ``sample``
+    vectors; every vector is indexed.
+    """
+    from kgloom.functions.vectors import dot
+
+    spark = queries.sparkSession
+    s = Scratch(spark, "codes")
+    vec = F.transform("vec", lambda x: x.cast("double")).alias("vec")
+    m = s.cut(index.filter("vec is not null").select(F.col("id").cast("long").alias("id"), vec))
+    q = s.cut(queries.filter("vec is not null").select(F.col("id").cast("long").alias("id"), vec))
+    fit = [list(r.vec) for r in m.orderBy(F.xxhash64("id")).limit(sample).select("vec").collect()]
+    if not fit:
+        return spark.createDataFrame([], "query long, entity long, score double, rnk int")
+    book = spark.sparkContext.broadcast(Codebook(np.array(fit), parts))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                c = book.value.encode(_vectors(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in c], pa.binary())], ["id", "code"])
+
+    codes = s.cut(m.mapInArrow(encode, "id long, code binary"))
+    n, keep, found = q.count(), k * rerank, None
+    blocks = max(1, -(-n // block))
+    for i in range(blocks):
+        part = q.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).orderBy("id").collect()
+        if not part:
+            continue
+        ids, x = np.array([r.id for r in part]), np.array([list(r.vec) for r in part])
+
+        def scan(batches: Iterator[pa.RecordBatch], ids=ids, x=x) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    m_id = b.column(0).to_numpy(zero_copy_only=False)
+                    near = book.value.products(x, np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(b.num_rows, -1))
+                    near[ids[:, None] == m_id[None, :]] = -np.inf
+                    take = min(keep, near.shape[1])
+                    at = np.argpartition(-near, take - 1, axis=1)[:, :take]
+                    r = np.repeat(np.arange(len(ids)), take)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(m_id[at.ravel()]), pa.array(near[r, at.ravel()])], ["query", "entity", "near"])
+
+        got = codes.mapInArrow(scan, "query long, entity long, near double")
+        found = got if found is None else found.unionByName(got)
+    if found is None:
+        return spark.createDataFrame([], "query long, entity long, score double, rnk int")
+    by = Window.partitionBy("query")
+    pick = found.filter("near > double('-Infinity')").withColumn("r", F.row_number().over(by.orderBy(F.desc("near"), "entity"))).filter(F.col("r") <= keep)
+    x = pick.select("query", "entity").join(q.select(F.col("id").alias("query"), F.col("vec").alias("qv")), "query").join(m.select(F.col("id").alias("entity"), F.col("vec").alias("mv")), "entity")
+    x = x.select("query", "entity", dot(F.col("qv"), F.col("mv")).alias("score"))
+    return x.withColumn("rnk", F.row_number().over(by.orderBy(F.desc(F.round("score", 9)), "entity"))).filter(F.col("rnk") <= k)
+
+
 def cell_search(queries: DataFrame, index: DataFrame, k: int, *, probes: int | None = None, share: float = SHARE, sample: int = 20000, cells: int | None = None) -> DataFrame:
     """(query, entity, score, rnk): as :func:`top_k`, among the nearest cells of an inverted file.
 

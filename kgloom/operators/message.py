@@ -165,8 +165,10 @@ def seed(nodes: DataFrame, start: DataFrame, vector: list[float], weights: DataF
 
 def relation_graph(edges: DataFrame) -> DataFrame:
     """(r1, r2, kind): relations that meet in an entity, as heads of both (0), tails of both (1), head and tail (2), tail and head (3)."""
-    h = edges.select(F.col("src").alias("e"), F.col("rel").alias("r")).distinct()
-    t = edges.select(F.col("dst").alias("e"), F.col("rel").alias("r")).distinct()
-    # Per entity only its set of relations meets itself, and relations are few.
-    one = lambda x, y, k: x.withColumnRenamed("r", "r1").join(y.withColumnRenamed("r", "r2"), "e").select("r1", "r2", F.lit(k).alias("kind")).distinct()
-    return one(h, h, 0).unionByName(one(t, t, 1)).unionByName(one(h, t, 2)).unionByName(one(t, h, 3))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("e"), F.lit(0).alias("side")), F.struct(F.col("dst").alias("e"), F.lit(1).alias("side")))).alias("x"), "rel").select("x.*", "rel").distinct()
+    # Entities of the same relations give the same pairs: each pair of sets is written out once, however many entities have it.
+    of = lambda side: F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("rel"))))
+    sets = ends.groupBy("e").agg(of(0).alias("h"), of(1).alias("t")).select("h", "t").distinct()
+    one = lambda x, y, k: sets.select(x, y).distinct().select(F.explode(x).alias("r1"), F.col(y)).select("r1", F.explode(y).alias("r2"), F.lit(k).alias("kind"))
+    both = lambda x, k: sets.select(F.col(x).alias("s")).distinct().select(F.explode("s").alias("r1"), "s").select("r1", F.explode("s").alias("r2"), F.lit(k).alias("kind"))
+    return both("h", 0).unionByName(both("t", 1)).unionByName(one("h", "t", 2)).unionByName(one("t", "h", 3)).distinct()

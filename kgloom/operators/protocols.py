@@ -7,6 +7,8 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgloom.operators.plugins import register
+
 
 class Extractor(Protocol):
     def __call__(self, passages: DataFrame) -> DataFrame:
@@ -33,6 +35,39 @@ class Evaluator(Protocol):
         """Predictions with golds to one row of metrics."""
 
 
+class TypeClassifier(Protocol):
+    def __call__(self, entities: DataFrame) -> DataFrame:
+        """(entity, name) to (entity, type, confidence)."""
+
+
+class LanguageModel(Protocol):
+    def __call__(self, prompts: DataFrame) -> DataFrame:
+        """(id, prompt) to (id, text)."""
+
+
+@register("classifier", "recorded")
+def recorded_types(answers: DataFrame, unknown: str = "other", confidence: float = 0.5):
+    """A classifier without a model: verdicts that one gave before, by name (name, type, confidence); others are ``unknown``."""
+
+    def run(entities: DataFrame) -> DataFrame:
+        a = answers.groupBy("name").agg(F.max_by(F.struct("type", "confidence"), "confidence").alias("x"))
+        return entities.join(a, "name", "left").select("entity", F.coalesce("x.type", F.lit(unknown)).alias("type"), F.coalesce("x.confidence", F.lit(confidence)).alias("confidence"))
+
+    return run
+
+
+@register("model", "recorded")
+def recorded_model(answers: DataFrame):
+    """A language model that answers from a table (prompt, text) of what one said; a prompt it lacks has no text."""
+
+    def run(prompts: DataFrame) -> DataFrame:
+        a = answers.groupBy(F.sha2("prompt", 256).alias("h")).agg(F.min("text").alias("text"))
+        return prompts.select("id", F.sha2("prompt", 256).alias("h")).join(a, "h", "left").select("id", "text")
+
+    return run
+
+
+@register("extractor", "pattern")
 def pattern_extractor(pattern: str, relation: int = 2):
     """An extractor without a model: a regular expression of three groups, head, relation and tail."""
 
@@ -45,6 +80,7 @@ def pattern_extractor(pattern: str, relation: int = 2):
     return run
 
 
+@register("embedder", "hashed")
 def hashed_embedder(dim: int = 64, seed: int = 0):
     """An embedder without a model: character trigrams hashed into ``dim`` signed buckets, unit length."""
     from kgloom.functions.text import ngrams

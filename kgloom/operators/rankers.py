@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgloom.operators.encode import dense_ids
+from kgloom.scratch import Scratch
+
 
 def _spread(scores: DataFrame, incidence: DataFrame, weight: Column) -> DataFrame:
     inc = incidence.select("node", "document").distinct()
@@ -54,10 +57,17 @@ def retrieve(ranked: DataFrame, documents: DataFrame, samples: DataFrame, k: int
     top = _best(ranked.select("sample", "document", "score"), k)
     # Only a sample with fewer than k positive scores needs documents that score 0: the first by name.
     few = stat.join(ranked.filter("score > 0").groupBy("sample").agg(F.count("*").alias("pos")), "sample", "left").filter(F.coalesce("pos", F.lit(0)) < k).select("sample", (F.coalesce("m", F.lit(0)) + k).alias("need"))
-    most = few.agg(F.max("need")).first()[0]
-    if most:
-        first = documents.select("document").distinct().orderBy("document").limit(int(most))
-        zero = few.select("sample").crossJoin(first).join(ranked.select("sample", "document"), ["sample", "document"], "left_anti").withColumn("score", F.lit(0.0))
+    # The j-th such document of a sample is the (j + i)-th of all, i of its ranked ones lying before: its ranked ones among the first
+    # m + k are marked by place, and no sample is paired with documents that another one needs.
+    few = few.join(samples.select("sample").distinct(), "sample")
+    if few.head(1):
+        s = Scratch(documents.sparkSession, "zero")
+        few = s.cut(few)
+        place = s.cut(dense_ids(documents.select("document").distinct(), ["document"], "at"))
+        used = ranked.join(few, "sample", "left_semi").join(place, "document").select("sample", F.col("at").cast("long").alias("at"))
+        wanted = few.select("sample", "need").select("sample", F.explode(F.sequence(F.lit(0).cast("long"), F.col("need").cast("long") - 1)).alias("at"))
+        free = wanted.join(used, ["sample", "at"], "left_anti")
+        zero = free.join(place, "at").select("sample", "document", F.lit(0.0).alias("score"))
         top = _best(top.unionByName(zero), k)
     w = Window.partitionBy("sample").orderBy(F.desc("score"), "document")
     out = top.join(stat, "sample")

@@ -202,10 +202,20 @@ def beam_paths(spark, d):
     return p.select("query", "length", F.concat_ws(">", F.transform("nodes", lambda n: n.cast("string"))).alias("nodes"), F.round("score", 6).alias("score"), F.col("rnk").cast("long").alias("rnk"))
 
 
-@query("render_paths")
+_BEAM = f"""with {star.EDGES}, e as (select src, rel, dst, ((src * 7 + dst * 3) % 101) / 101.0::double w from edges where rel in (1, 2, 4)),
+s1 as (select p_partkey q, {star.U} * 4 + p_partkey % 5 target, dst node, w dist, [src, dst] nodes, [rel] rels from part join e on src = {star.U} * 6 + p_partkey),
+s2 as (select q, target, e.dst node, dist + w dist, list_append(nodes, e.dst) nodes, list_append(rels, e.rel) rels from s1 join e on node = e.src
+  qualify row_number() over (partition by q, e.dst order by round(dist + w, 9) desc, list_append(nodes, e.dst), list_append(rels, e.rel)) <= 4),
+s3 as (select q, target, e.dst node, dist + w dist, list_append(nodes, e.dst) nodes, list_append(rels, e.rel) rels from s2 join e on node = e.src
+  qualify row_number() over (partition by q, e.dst order by round(dist + w, 9) desc, list_append(nodes, e.dst), list_append(rels, e.rel)) <= 4),
+best as (select q query, 3 length, array_to_string(nodes, '>') nodes, array_to_string(['n' || n for n in nodes], ' => ') path, round(dist / 3, 6) score, row_number() over (partition by q order by round(dist / 3, 9) desc, nodes, rels) rnk from s3 where node = target)
+select query, rnk, path from best where rnk <= 2"""
+
+
+@query("render_paths", _BEAM)
 def render_paths(spark, d):
     n = star.nodes(_weighted(spark, d)).select("node", F.concat(F.lit("n"), F.col("node").cast("string")).alias("name"))
-    return paths.render(_paths(spark, d), n)
+    return paths.render(_paths(spark, d), n).withColumn("rnk", F.col("rnk").cast("long"))
 
 
 # Logical queries, from a region or a brand inward along inverse edges.

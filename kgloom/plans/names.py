@@ -9,6 +9,7 @@ from kgloom.functions import text
 from kgloom.operators import construct, encode
 from kgloom.plans import star
 from kgloom.plans.registry import query
+from kgloom.scratch import Scratch
 
 _PHRASE = "trim(regexp_replace(lower({c}), '[^A-Za-z0-9 ]', ' ', 'g'))"
 _SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -190,13 +191,13 @@ rf as (select relation name, min(pos) seen from triples group by relation), rels
 
 @query("vocab_encode", f"with {_VOCAB} select h.id src, r.id rel, t.id dst from triples join ents h on head = h.name join ents t on tail = t.name join rels r on relation = r.name")
 def vocab_encode(spark, d):
-    t = star.names_of(spark, d)
+    t = Scratch(spark, "triples").cut(star.names_of(spark, d))
     return encode.encode(t, *encode.vocabulary(t, "pos"))
 
 
 @query("relation_inverse_names", f"with {_VOCAB} select id, name from rels union all select id + (select count(*) from rels), 'inverse_' || name from rels")
 def relation_inverse_names(spark, d):
-    _, r = encode.vocabulary(star.names_of(spark, d), "pos")
+    _, r = encode.vocabulary(Scratch(spark, "triples").cut(star.names_of(spark, d)), "pos")
     return encode.inverse_names(r, r.count())
 
 

@@ -106,7 +106,7 @@ def flagship(spark, d):
     """Nations as questions: two layers of messages reach the parts their suppliers offer; orders are ranked by the best parts."""
     from kgloom.scratch import Scratch
 
-    e = Scratch(spark, "flagship").cut(star.edges(spark, d))
+    e = Scratch(spark, "flagship").cut(star.edges(spark, d).filter("rel in (1, 3, 4)"))
     near = e.filter("rel = 1").select(F.col("dst").alias("sample"), F.col("src").alias("mid"))
     parts = e.filter("rel = 4").select(F.col("src").alias("node"), F.col("dst").alias("mid"))
     s = near.join(parts, "mid").groupBy("sample", "node").agg(F.count("*").cast("double").alias("score"))

@@ -207,3 +207,22 @@ def cell_search(spark, d):
     """Inverted-file search; its recall against the exact search is tested on this table."""
     e = entities(spark, d).select("id", "vec")
     return linking.cell_search(e, e, 10)
+
+
+def _recall(spark, d, search):
+    """One row: queries whose id is divisible by 100, their true ten neighbours, and how many of those the search finds."""
+    e = entities(spark, d).select("id", "vec")
+    q = e.filter("id % 100 = 0")
+    true = linking.top_k(q, e, 10).select("query", "entity")
+    found = search(q, e).select("query", "entity").withColumn("hit", F.lit(1))
+    return true.join(found, ["query", "entity"], "left").agg(F.count_distinct("query").alias("n_queries"), F.count("*").alias("n_true"), F.count("hit").alias("n_found"))
+
+
+@query("cell_recall")
+def cell_recall(spark, d):
+    return _recall(spark, d, lambda q, e: linking.cell_search(q, e, 10))
+
+
+@query("quantised_recall")
+def quantised_recall(spark, d):
+    return _recall(spark, d, lambda q, e: linking.quantised_search(q, e, 10))

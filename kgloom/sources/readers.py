@@ -9,7 +9,14 @@ from kgloom.streaming.ingest import EXTRACTION
 
 
 def corpus(spark: SparkSession, path: str) -> DataFrame:
-    """(title, text, passage) of JSON objects that map titles to texts, one object to a file."""
+    """(title, text, passage) of JSON objects that map titles to texts.
+
+    Files whose every line is an object of its own, as ``.jsonl``, are split like any text; an object that spans
+    lines is one row and one task, so a large corpus should come as many files or as lines.
+    """
+    if path.rstrip("/").endswith(".jsonl"):
+        m = spark.read.text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("title", "text"))
+        return m.withColumn("passage", F.concat_ws("\n", "title", "text"))
     m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("title", "text"))
     return m.withColumn("passage", F.concat_ws("\n", "title", "text"))
 
@@ -34,8 +41,9 @@ def synonym_pairs(t: DataFrame) -> DataFrame:
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON list of questions; fields beyond the known ones are kept."""
-    return spark.read.option("multiLine", True).json(path)
+    """Questions as a JSON list or one to a line; fields beyond the known ones are kept."""
+    first = spark.read.text(path).filter("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1)).first()
+    return spark.read.option("multiLine", bool(first) and first[0] == "[").json(path)
 
 
 def predictions(spark: SparkSession, path: str) -> DataFrame:

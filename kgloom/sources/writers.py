@@ -18,6 +18,35 @@ def document_entities(df: DataFrame, path: str) -> None:
     df.groupBy("document").agg(F.array_sort(F.collect_set("entity")).alias("entities")).write.mode("overwrite").json(path)
 
 
+def document_entity_map(df: DataFrame, path: str) -> None:
+    """One JSON object from document to sorted list of entities: a line for each document, each file an object of its own that may be merged with the others."""
+    x = df.groupBy("document").agg(F.array_sort(F.collect_set("entity")).alias("e"))
+    x.select(F.to_json(F.map_from_arrays(F.array(F.col("document").cast("string")), F.array("e"))).alias("value")).write.mode("overwrite").text(path)
+
+
+def questions(df: DataFrame, path: str) -> None:
+    """A question to a line, with all its fields; read back by ``readers.questions``."""
+    df.write.mode("overwrite").json(path)
+
+
+def write_small(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, replaced as a whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_small(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if it is not there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
 def append_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
@@ -32,8 +61,19 @@ def mappings(df: DataFrame, folder: str, least: float = 0.5) -> None:
 
 
 def metrics_csv(df: DataFrame, path: str, dataset: str) -> None:
-    """Appends rows of metrics, the data set's name first."""
-    df.select(F.lit(dataset).alias("dataset"), *df.columns).coalesce(1).write.mode("append").option("header", True).csv(path)
+    """Appends a row of metrics for each row of ``df``, which is small, to one file, the data set's name first; the header is written once."""
+    import csv
+    import io
+
+    spark, rows = df.sparkSession, df.limit(10_000).collect()
+    old = read_small(spark, path)
+    buf = io.StringIO()
+    w = csv.writer(buf, lineterminator="\n")
+    if old is None:
+        w.writerow(["dataset", *df.columns])
+    for r in rows:
+        w.writerow([dataset, *r])
+    write_small(spark, path, (old + "\n" if old else "") + buf.getvalue())
 
 
 def fingerprint(config: dict) -> str:
