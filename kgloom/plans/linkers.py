@@ -256,3 +256,65 @@ def completion_loss(spark, d):
     p = evaluate.preds(spark, d)
     first = p.filter("is_target").groupBy("sample").agg(F.min_by(F.struct("node", "score"), "node").alias("x")).select("sample", "x.node", "x.score", F.lit(True).alias("is_target"))
     return losses.completion(p.filter("not is_target").select("sample", "node", "score", "is_target").unionByName(first), 0.5)
+
+
+@query("seed_weighted", f"with {star.EDGES}, f as (select dst node, 1.0::double / count(*) idf from edges where rel = 3 group by 1) select node, round(case when node // {star.U} = 6 then coalesce(idf, 0.0::double) * 0.5::double else 0.0::double end, 9) x0, round(case when node // {star.U} = 6 then coalesce(idf, 0.0::double) * -0.25::double else 0.0::double end, 9) + 0.0::double x1 from nodes left join f using (node)")
+def seed_weighted(spark, d):
+    """Parts as start nodes, each weighted by the inverse of how many orders hold it."""
+    e = star.edges(spark, d)
+    n = star.nodes(e)
+    idf = encode.inverse_frequency(e.filter("rel = 3").select(F.col("dst").alias("node"), F.col("src").alias("document")), n)
+    x = message.seed(n, n.filter(f"node div {star.UNIT} = {star.KIND['part']}"), [0.5, -0.25], idf)
+    return x.select("node", F.round("x0", 9).alias("x0"), (F.round("x1", 9) + 0.0).alias("x1"))
+
+
+@query("remove_easy_pairs", f"with {star.EDGES}, b as (select src, dst from edges where (src + dst) % 11 = 0), k as (select * from b union select dst, src from b) select src, rel, dst from edges anti join k using (src, dst)")
+def remove_easy_pairs(spark, d):
+    """Edges whose two ends no triple of the batch joins, whatever the relation."""
+    e = star.edges(spark, d)
+    return encode.remove_easy(e, e.filter("(src + dst) % 11 = 0"), by_pair=True).select("src", "rel", "dst")
+
+
+_VEC = "with e as (select vec_id a, embedding::double[] x from embeddings), p as (select e.a, e.x, n.x y from e join e n on n.a = e.a + 1)"
+
+
+@query("vector_columns", f"{_VEC} select a, round(list_dot_product(x, y), 6) dot, round(sqrt(list_dot_product(x, x)), 6) norm, round(list_cosine_similarity(x, y), 6) cosine, round(1 - pow(2 - 2 * list_cosine_similarity(x, y), 2) / 2, 5) as squared from p")
+def vector_columns(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("a"), F.col("embedding").alias("x"))
+    n = e.select((F.col("a") - 1).alias("a"), F.col("x").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    return e.join(n, "a").select("a", F.round(vectors.dot(x, y), 6).alias("dot"), F.round(vectors.norm(x), 6).alias("norm"), F.round(vectors.cosine(x, y), 6).alias("cosine"), F.round(vectors.squared_distance_similarity(vectors.cosine(x, y)), 5).alias("squared"))
+
+
+_GOLD = f"""{ranking._IDF_TOP}, al as (select q.sample, o_orderkey document, coalesce(round(score, 9), 0.0::double) score from (select distinct sample from sc) q cross join orders left join ranked on document = o_orderkey and ranked.sample = q.sample),
+rt as (select sample, document, row_number() over (partition by sample order by score desc, document) rnk from al), gd as (select distinct c_nationkey sample, o_orderkey document from orders join customer on o_custkey = c_custkey where o_orderkey % 40 = c_nationkey % 40),
+r1 as (select sample, {', '.join(f'avg(coalesce((rnk <= {k})::int, 0)) r{k}' for k in (1, 2, 5, 10))} from gd left join (select * from rt where rnk <= 10) using (sample, document) group by sample)"""
+
+
+@query("retrieval_report", f"with {_GOLD} select count(*) n, {', '.join(f'round(avg(r{k}), 6) recall_at_{k}' for k in (1, 2, 5, 10))} from r1")
+def retrieval_report(spark, d):
+    """From node scores to the recall of the documents retrieved, over all questions that have a gold document."""
+    r = ranking.retrieve_topk(spark, d).select("sample", "document", "score")
+    g = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).filter("o_orderkey % 40 = c_nationkey % 40").select(F.col("c_nationkey").alias("sample"), F.col("o_orderkey").alias("document"))
+    return metrics.retrieval_recall(r, g)
+
+
+@query("sql_functions", f"""with p as (select a.p_partkey k, a.p_name x, b.p_name y from part a join part b on b.p_partkey = a.p_partkey + 1), t as (select k, x, y, list_distinct(string_split(lower(x), ' ')) a, string_split(lower(y), ' ') b from p)
+select k, {_PHRASE.format(c="x || '!' || k")} p, round(len(list_intersect(a, b)) / len(a)::double, 6) c, round(1 - levenshtein(lower(x), lower(y)) / greatest(length(x), length(y))::double, 6) e from t""")
+def sql_functions(spark, d):
+    """The functions by their names in SQL."""
+    from kgloom.functions.register import register
+
+    register(spark)
+    p = table(spark, d, "part")
+    x = p.select(F.col("p_partkey").alias("k"), F.col("p_name").alias("x")).join(p.select((F.col("p_partkey") - 1).alias("k"), F.col("p_name").alias("y")), "k")
+    return spark.sql("SELECT k, phrase(concat(x, '!', k)) AS p, round(containment(x, y), 6) AS c, round(edit_similarity(x, y), 6) AS e FROM {x}", x=x)
+
+
+@query("sql_grams", "select gram, count(*) n from (select unnest([substring(lower(p_name), i::int, 3) for i in range(1, length(p_name) - 1)]) gram from part) group by gram")
+def sql_grams(spark, d):
+    """The table function by its name in SQL."""
+    from kgloom.functions.register import register
+
+    register(spark)
+    return spark.sql("SELECT gram, count(*) AS n FROM {p}, LATERAL char_grams(p_name, 3) GROUP BY gram", p=table(spark, d, "part"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kgloom.catalog import table
 from kgloom.functions import vectors
-from kgloom.operators import construct, linking, resolve
+from kgloom.operators import construct, linking, resolve, vocab
 from kgloom.plans.registry import query
 from kgloom.scratch import Scratch
 
@@ -97,18 +97,28 @@ def neighbour_jaccard(spark, d):
     return resolve.neighbour_jaccard(Scratch(spark, "pairs").cut(_blocked(spark, d)), _edges(spark, d)).withColumn("jaccard", F.round("jaccard", 6))
 
 
-_SCORE = f"""{_BLOCK}, {_EDGE}, {_JAC}, sc as (select a, b, round(0.5::double * similarity + 0.15::double * (1 - levenshtein(lower(x.p_name), lower(y.p_name)) / greatest(length(x.p_name), length(y.p_name))::double)
-  + 0.25::double * len(list_intersect(string_split(x.p_name, ' '), string_split(y.p_name, ' '))) / len(list_distinct(list_concat(string_split(x.p_name, ' '), string_split(y.p_name, ' ')))) + 0.1::double * coalesce(jaccard, 0), 9) score
-  from jc join part x on x.p_partkey = a join part y on y.p_partkey = b)"""
+def _form(c: str) -> str:
+    w = " ".join(f"when regexp_matches({c}, '({'|'.join(e)})$') then '{k}'" for k, e in resolve.ENDINGS.items())
+    return f"case {w} when regexp_matches({c}, '{'|'.join(resolve.ANATOMY)}') then 'anatomy' else 'other' end"
 
 
-def _scored(spark, d):
-    from kgloom.functions.text import edit_similarity, token_jaccard
+_MAXSIM = """tk as (select vec_id id, [v[1:16], v[17:32], v[33:48], v[49:64]] t from (select vec_id, embedding::double[] v from embeddings)),
+ms as (select a, b, greatest(0, least(1, (list_sum([list_max([list_dot_product(u, w) for w in y.t]) for u in x.t]) / 4 + list_sum([list_max([list_dot_product(u, w) for w in x.t]) for u in y.t]) / 4) / 2)) late from bl join tk x on x.id = a join tk y on y.id = b)"""
+_SCORE = f"""{_BLOCK}, {_EDGE}, {_JAC}, {_MAXSIM}, sc as (select a, b, round(0.5::double * similarity + 0.15::double * (1 - levenshtein(lower(x.p_name), lower(y.p_name)) / greatest(length(x.p_name), length(y.p_name))::double)
+  + 0.25::double * late + 0.1::double * coalesce(jaccard, 0), 9) score from jc join ms using (a, b) join part x on x.p_partkey = a join part y on y.p_partkey = b)"""
+
 
+def _token_matrix():
+    """An embedding as four tokens of sixteen numbers."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16)))
+
+
+def _scored(spark, d):
     p = Scratch(spark, "pairs").cut(_blocked(spark, d))
-    n = entities(spark, d).select("id", "name")
-    x = p.join(resolve.neighbour_jaccard(p, _edges(spark, d)), ["a", "b"]).join(n.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(n.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
-    s = resolve.final_score(F.col("similarity"), edit_similarity(F.col("na"), F.col("nb")), token_jaccard(F.col("na"), F.col("nb")), F.col("jaccard"))
+    n = entities(spark, d).select("id", "name").join(table(spark, d, "embeddings").select(F.col("vec_id").cast("long").alias("id"), _token_matrix().alias("t")), "id")
+    side = lambda k: n.select(F.col("id").alias(k), F.col("name").alias(f"n{k}"), F.col("t").alias(f"t{k}"))
+    x = p.join(resolve.neighbour_jaccard(p, _edges(spark, d)), ["a", "b"]).join(side("a"), "a").join(side("b"), "b")
+    s = resolve.final_score(F.col("similarity"), resolve.lexical(F.col("na"), F.col("nb")), vectors.maxsim(F.col("ta"), F.col("tb")), F.col("jaccard"))
     return x.select("a", "b", F.round(s, 9).alias("score"))
 
 
@@ -124,9 +134,15 @@ def type_threshold_accept(spark, d):
     return resolve.accept(_scored(spark, d), types, {"drug": 0.30, "gene": 0.35, "disease": 0.40}).select("a", "b")
 
 
-def _form(c: str) -> str:
-    w = " ".join(f"when regexp_matches({c}, '({'|'.join(e)})$') then '{k}'" for k, e in resolve.ENDINGS.items())
-    return f"case {w} when regexp_matches({c}, '{'|'.join(resolve.ANATOMY)}') then 'anatomy' else 'other' end"
+_TAU = "case ty " + " ".join(f"when '{k}' then {v}::double" for k, v in resolve.THRESHOLDS.items()) + " else 0.80::double end"
+
+
+@query("adaptive_accept", f"with s as (select distinct pair_id, entity1_name n, final_score score from scored_pairs where final_score is not null), t as (select *, {_form('lower(coalesce(n, chr(0)))')} ty from s) select pair_id, ty as type from t where score >= {_TAU}")
+def adaptive_accept(spark, d):
+    """Judged pairs at or above the threshold of their first entity's type, told by its name; 0.80 without a name."""
+    p = table(spark, d, "scored_pairs").filter("final_score is not null").select(F.col("pair_id").alias("a"), F.col("pair_id").alias("b"), F.col("final_score").alias("score"), "entity1_name").distinct()
+    t = p.select(F.col("a").alias("id"), F.when(F.col("entity1_name").isNotNull(), resolve.type_by_form(F.col("entity1_name"))["type"]).otherwise("other").alias("type")).distinct()
+    return resolve.accept(p.select("a", "b", "score"), t).select(F.col("a").alias("pair_id"), "type")
 
 
 @query("type_by_form", f"select cui, {_form('lower(preferred_name)')} as type, case {_form('lower(preferred_name)')} when 'other' then 0.5::double when 'anatomy' then 0.75::double else 0.85::double end confidence from umls_concepts")
@@ -157,6 +173,13 @@ def type_stats(spark, d):
     return t.select("type", "n", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 4).alias("percent"))
 
 
+@query("type_group_match", """with t as (select cui, semantic_types s, case length(preferred_name) % 4 when 0 then 'disease' when 1 then 'drug' when 2 then 'anatomy' end e from umls_concepts) select cui, e is null or coalesce(len(list_intersect(s, case e __CASES__ end)) > 0, false) ok from t""".replace("__CASES__", " ".join(f"when '{k}' then {list(v)}" for k, v in vocab.TYPE_GROUPS.items())))
+def type_group_match(spark, d):
+    k = F.length("preferred_name") % 4
+    e = F.when(k == 0, "disease").when(k == 1, "drug").when(k == 2, "anatomy")
+    return table(spark, d, "umls_concepts").select("cui", vocab.type_match(F.col("semantic_types"), e).alias("ok"))
+
+
 @query("capped_neighbours", f"""with {_V}, t as (select a.p_name || ' ' || query query, b.p_name || ' ' || entity entity, score from s join part a on a.p_partkey = query join part b on b.p_partkey = entity)
 select query, entity, round(score, 5) score from t where score >= 0.3 qualify row_number() over (partition by query order by score desc, entity) <= 4""")
 def capped_neighbours(spark, d):
@@ -166,6 +189,17 @@ def capped_neighbours(spark, d):
     return _out(construct.capped_neighbours(s, 3, 0.3))
 
 
+@query("graph_augment_near", f"""with {_V}, t as (select a.p_name || ' ' || query query, b.p_name || ' ' || entity entity, score from s join part a on a.p_partkey = query join part b on b.p_partkey = entity),
+c as (select query head, entity tail from t where score >= 0.3 qualify row_number() over (partition by query order by score desc, entity) <= 4),
+g as (select p_name || ' ' || p_partkey head, p_brand tail, lower(p_type) relation from part)
+select head, tail, relation from g union all select head, tail, 'equivalent' from c""")
+def graph_augment_near(spark, d):
+    """The graph of parts and brands with an edge to each of a part's capped nearest neighbours."""
+    g = table(spark, d, "part").select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("head"), F.col("p_brand").alias("tail"), F.lower("p_type").alias("relation"))
+    near = capped_neighbours(spark, d).select(F.col("query").alias("head"), F.col("entity").alias("tail"))
+    return construct.augment(g, near)
+
+
 def _concept_words(spark, d):
     from kgloom.functions.text import words
 
@@ -197,7 +231,7 @@ t as (select a, b, [x[1:16], x[17:32], x[33:48], x[49:64]] x, [y[1:16], y[17:32]
 s as (select a, b, list_sum([list_max([list_dot_product(u, w) for w in y]) for u in x]) / 4 f, list_sum([list_max([list_dot_product(u, w) for w in x]) for u in y]) / 4 g from t)
 select a, b, round(greatest(0, least(1, (f + g) / 2)), 5) score from s""")
 def maxsim(spark, d):
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice("embedding", i * 16 + 1, F.lit(16))).alias("x"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), _token_matrix().alias("x"))
     n = e.select((F.col("a") - 1).alias("a"), F.col("a").alias("b"), F.col("x").alias("y"))
     return e.join(n, "a").select("a", "b", F.round(vectors.maxsim(F.col("x"), F.col("y")), 5).alias("score"))
 
