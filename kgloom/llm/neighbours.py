@@ -52,18 +52,27 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, key, vec) of usable vectors; the key is the direction to six decimals."""
     for b in batches:
         ids, ks, vs = [], [], []
-        for i, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            if not e or any(x is None for x in e):
-                continue
-            x = np.array(e, np.float32)
-            if np.isfinite(x).all() and x.any():
-                # Doubled exponents would overflow in single precision; directions are taken in double.
-                u = x.astype(np.float64)
-                u /= np.abs(u).max()
-                u /= np.sqrt((u * u).sum())
-                ids.append(i)
-                ks.append(xxhash.xxh3_128_digest((np.rint(u * 1e6) + 0.0).astype(np.int32).tobytes()))
-                vs.append(x.tobytes())
+        col = b.column(1)
+        width = np.diff(col.offsets.to_numpy())
+        flat = col.flatten()  # without the null lists, whose widths are set to 0
+        width[col.is_null().to_numpy(zero_copy_only=False)] = 0
+        begin = np.concatenate([[0], np.cumsum(width)])
+        bad = flat.is_null().to_numpy(zero_copy_only=False)
+        flat = flat.to_numpy(zero_copy_only=False).astype(np.float32)
+        flat = np.where(bad, np.float32("nan"), flat)
+        for d in np.unique(width[width > 0]):
+            rows = np.flatnonzero(width == d)
+            x = flat[begin[rows][:, None] + np.arange(d)]
+            ok = np.isfinite(x).all(axis=1) & x.any(axis=1)
+            rows, x = rows[ok], np.ascontiguousarray(x[ok])
+            # Doubled exponents would overflow in single precision; directions are taken in double.
+            u = x.astype(np.float64)
+            u /= np.abs(u).max(axis=1, keepdims=True)
+            u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+            key = (np.rint(u * 1e6) + 0.0).astype(np.int32)
+            ids += b.column(0).take(pa.array(rows)).to_pylist()
+            ks += [xxhash.xxh3_128_digest(k.tobytes()) for k in key]
+            vs += [v.tobytes() for v in x]
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ks, pa.binary()), pa.array(vs, pa.binary())], ["id", "key", "vec"])
 
 
@@ -148,9 +157,13 @@ def _route(forest, probes: int, blocks: np.ndarray, dim: int):
 
 def _best(a: np.ndarray, a_id: np.ndarray, b: np.ndarray, b_id: np.ndarray, near: np.ndarray, k: int, least: float):
     """(row of a, id of b, cosine) of the best k of each row: picked by ``near`` with all that tie at the edge, reranked exactly."""
-    m = min(k + 6, near.shape[1])
-    floor = -np.partition(-near, m - 1, axis=1)[:, m - 1]
-    pick = near >= (np.fmax(floor, least) - SLACK)[:, None]
+    m = min(k + 1, near.shape[1])  # a row may be among the others itself
+    pick = near >= least - SLACK
+    # Only rows of more candidates than that need the last of their best; either cosine may err by SLACK.
+    many = np.flatnonzero(pick.sum(axis=1) > m)
+    if len(many):
+        x = near[many]
+        pick[many] &= x >= (-np.partition(-x, m - 1, axis=1)[:, m - 1] - 2 * SLACK)[:, None]
     if len(near) > 1 and np.count_nonzero(pick) > max(PICKS, m * len(near)):  # copies: all pairs of a cell may tie
         h = len(near) // 2
         x, y = _best(a[:h], a_id[:h], b, b_id, near[:h], k, least), _best(a[h:], a_id[h:], b, b_id, near[h:], k, least)
