@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgloom.catalog import spread, table
-from kgloom.functions.text import normal_cui, normal_form
+from kgloom.functions.text import SPACE, normal_cui, normal_form
 from kgloom.llm import canonical, components, fusion, leakage, neighbours, packing, residue, survivor, topn
 from kgloom.scratch import Scratch
 
 #: The fields that survive one by one, and the score lists that make one order.
 FIELDS = ("cui", "name", "confidence", "semantic_types")
 LISTS = {"sapbert": 1.0, "tfidf": 1.0, "ensemble": 1.0, "cross_encoder": 1.0, "previous": 1.0}
+#: A character that is no white space of any kind.
+NOT_SPACE = "[^" + SPACE[1:-1]
 
 
 def _pipeline(spark: SparkSession, d: str) -> DataFrame:
@@ -30,13 +32,12 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     m = m.join(runs, "run_id", "left").join(known, F.col("cui") == F.col("known"), "left")
     # Words of a name, elements of a list; other fields are one token.
     word = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
-    name = F.when(F.size(word(F.col("name"))) > 0, word(F.col("name"))).otherwise(F.array(F.col("name")))
-    has_name = F.col("name").isNotNull() & (normal_blank(F.col("name")) != "")
+    has_name = F.col("name").rlike(NOT_SPACE)  # then it has a word
     one = lambda f, ok, tokens: F.when(ok, F.struct(F.lit(f).alias("field_name"), tokens.alias("tokens")))
     types = F.transform(F.col("semantic_types"), lambda t: F.concat(F.lit("="), F.coalesce(t, F.lit(""))))
     usable = F.array(
         one("cui", F.col("known").isNotNull(), F.array("cui")),
-        one("name", has_name, name),
+        one("name", has_name, word(F.col("name"))),
         one("confidence", F.col("confidence").between(0, 1), F.array(F.col("confidence").cast("string"))),
         one("semantic_types", F.size("semantic_types") > 0, types),
     )
@@ -49,13 +50,6 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     return m.select("mapping_id", "form", rank.alias("rank"), votes.cast("long").alias("votes"), F.explode(u).alias("u")).select("mapping_id", "form", "rank", "votes", "u.field_name", "u.tokens")
 
 
-def normal_blank(c):
-    """What is left of a value without white space of any kind."""
-    from kgloom.functions.text import SPACE
-
-    return F.regexp_replace(c, SPACE, "")
-
-
 def _groups(spark: SparkSession, d: str) -> DataFrame:
     m = _pipeline(spark, d).select("mapping_id", normal_form(F.col("entity")).alias("form")).filter("form <> ''")
     return m.groupBy("form").agg(F.min("mapping_id").alias("group_id"), F.max("mapping_id").alias("top")).filter("group_id <> top").drop("top")
