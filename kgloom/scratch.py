@@ -26,11 +26,24 @@ def root(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the tables that this session's operators wrote for their lineage, once no result of theirs will be read again."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _BASES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_BASES.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
+#: Folders made in this session.
+_BASES: list[str] = []
+
+
 class Scratch:
     """Tables of one computation; each is dropped once nothing reads it any more."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.base, self.n = spark, f"{root(spark)}/kgloom/{tag}-{uuid.uuid4().hex}", 0
+        _BASES.append(self.base)
 
     def cut(self, df: DataFrame) -> DataFrame:
         """Write ``df`` and return a frame that reads what was written."""

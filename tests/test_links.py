@@ -232,6 +232,18 @@ def test_a_cluster_needs_a_shared_folder():
         scratch.root(Fake())
 
 
+def test_scratch_tables_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_BASES", [])
+    s = scratch.Scratch(spark, "gone")
+    x = s.cut(spark.range(5))
+    path = x._kgloom_path.removeprefix("file://").removeprefix("file:")
+    import os
+
+    assert os.path.isdir(path)
+    scratch.clear(spark)
+    assert not os.path.isdir(path) and scratch._BASES == []
+
+
 def test_a_hot_key_is_joined_in_parts(spark):
     # Aggregate written first: the planner may split the key that holds a third of the rows.
     keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")
