@@ -208,6 +208,15 @@ def p7_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "id", "n_tokens", capacity=2048, tie="h").withColumnRenamed("id", "doc_id")
 
 
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """One row: windows, the least number that the tokens need, tokens, windows above capacity, and documents cut although they fit one."""
+    w = p7_windows(spark, d).select("doc_id", "piece", "n_tokens", "window_id")
+    w = Scratch(spark, "p7").cut(w)
+    size = w.groupBy("window_id").agg(F.sum("n_tokens").alias("n"))
+    cut = w.groupBy("doc_id").agg(F.max("piece").alias("p"), F.sum("n_tokens").alias("n")).agg(F.count_if((F.col("p") > 0) & (F.col("n") <= 2048)).alias("n_cut_needlessly"))
+    return size.agg(F.count("*").alias("n_windows"), F.ceil(F.sum("n") / 2048).alias("least"), F.sum("n").alias("n_tokens"), F.count_if(F.col("n") > 2048).alias("n_above")).crossJoin(cut)
+
+
 # 8: held-out wording in documents
 
 
@@ -258,6 +267,7 @@ QUERIES = {
     "p5_agreement": p5_agreement,
     "p6_found": p6_found,
     "p7_windows": p7_windows,
+    "p7_report": p7_report,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
     "p9_found": p9_found,
