@@ -31,23 +31,25 @@ def _fields(spark: SparkSession, d: str) -> DataFrame:
     m = _pipeline(spark, d).select("mapping_id", normal_form(F.col("entity")).alias("form"), *FIELDS, "run_id", "updated_at").filter("form <> ''")
     m = m.join(runs, "run_id", "left").join(known, F.col("cui") == F.col("known"), "left")
     # Words of a name, elements of a list; other fields are one token.
-    word = lambda c: F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    word = lambda c: F.array_remove(F.split(c, r"\s+"), "")
     has_name = F.col("name").rlike(NOT_SPACE)  # then it has a word
-    one = lambda f, ok, tokens: F.when(ok, F.struct(F.lit(f).alias("field_name"), tokens.alias("tokens")))
+    ok = {"cui": F.col("known").isNotNull(), "name": has_name, "confidence": F.col("confidence").between(0, 1), "semantic_types": F.size("semantic_types") > 0}
+    m = m.select("*", *[F.coalesce(c, F.lit(False)).alias(f"ok_{f}") for f, c in ok.items()])
+    one = lambda f, tokens: F.when(F.col(f"ok_{f}"), F.struct(F.lit(f).alias("field_name"), tokens.alias("tokens")))
     types = F.transform(F.col("semantic_types"), lambda t: F.concat(F.lit("="), F.coalesce(t, F.lit(""))))
     usable = F.array(
-        one("cui", F.col("known").isNotNull(), F.array("cui")),
-        one("name", has_name, word(F.col("name"))),
-        one("confidence", F.col("confidence").between(0, 1), F.array(F.col("confidence").cast("string"))),
-        one("semantic_types", F.size("semantic_types") > 0, types),
+        one("cui", F.array("cui")),
+        one("name", word(F.col("name"))),
+        one("confidence", F.array(F.col("confidence").cast("string"))),
+        one("semantic_types", types),
     )
     # Compares as the rows rank: trust, then time, each with null last, then the smaller identifier.
     rank, when = F.struct("trust", "updated_at", (-F.col("mapping_id")).alias("id")), F.unix_micros("updated_at")
-    u = F.filter(usable, lambda x: x.isNotNull())
+    n_usable = sum(F.col(f"ok_{f}").cast("int") for f in FIELDS)
     # A row's votes: trust of its run, times its usable fields, times a part that grows with its time.
     months = F.coalesce(F.floor(F.greatest(F.lit(0), F.least(when, F.lit(4 * 10**15))) / F.lit(30 * 86_400_000_000)), F.lit(0))
-    votes = (F.lit(10) + F.greatest(F.lit(0), F.least(F.coalesce("trust", F.lit(0)), F.lit(100)))) * (F.size(u) + 1) * (100 + months)
-    return m.select("mapping_id", "form", rank.alias("rank"), votes.cast("long").alias("votes"), F.explode(u).alias("u")).select("mapping_id", "form", "rank", "votes", "u.field_name", "u.tokens")
+    votes = (F.lit(10) + F.greatest(F.lit(0), F.least(F.coalesce("trust", F.lit(0)), F.lit(100)))) * (n_usable + 1) * (100 + months)
+    return m.select("mapping_id", "form", rank.alias("rank"), votes.cast("long").alias("votes"), F.explode(usable).alias("u")).filter("u is not null").select("mapping_id", "form", "rank", "votes", "u.field_name", "u.tokens")
 
 
 def _groups(spark: SparkSession, d: str) -> DataFrame:
