@@ -328,7 +328,7 @@ def _mine(share: float, held: int, name):
     return run
 
 
-def mine_templates(docs: DataFrame, s: Scratch, *, depth: int = 3, share: float = 0.7, held: int = 50_000, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
+def mine_templates(docs: DataFrame, s: Scratch, *, depth: int = 3, share: float = 0.7, held: int = 8192, sample: int = SAMPLE) -> tuple[DataFrame, DataFrame]:
     """(key, verdict) of every distinct segment, of the read texts ``docs`` (id, slot, keys, segs), that is not ordinary, and (template, verdict, n_texts) of all templates.
 
     Segments descend twice: by their length and first ``depth`` words, and the templates of
