@@ -210,8 +210,10 @@ class BKTree:
         """For each query the (distance, node) of every key within its own threshold."""
         out: list[list[tuple[int, int]]] = [[] for _ in queries]
         short = [i for i, k in enumerate(queries) if 0 < len(k) <= self.WIDE]
+        longest = int(self.length.max())
         for i in set(range(len(queries))) - set(short):
-            todo = [0] if queries[i] else []
+            # A distance is at least the difference in length: very long texts name nothing.
+            todo = [0] if 0 < len(queries[i]) <= longest + most[i] else []
             while todo:
                 at = todo.pop()
                 d = distance(queries[i], self.keys[at])

@@ -72,3 +72,12 @@ def test_tree_finds_everything_within(names, queries, most):
     tree = C.BKTree([(n, n) for n in names])
     for q, hits in zip(queries, tree.within(queries, [most] * len(queries))):
         assert sorted((d, tree.keys[i]) for d, i in hits) == sorted((C.distance(q, n), n) for n in set(names) if C.distance(q, n) <= most)
+
+
+def test_very_long_values_name_nothing_quickly():
+    import time
+
+    tree = C.BKTree([(f"key{i}" * (1 + i % 30), (f"C{i}",)) for i in range(300)])
+    t = time.process_time()
+    assert tree.within(["key1" * 50_000, "key2" * 40], [4, 4])[0] == []
+    assert time.process_time() - t < 5

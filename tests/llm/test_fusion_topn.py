@@ -117,3 +117,16 @@ def test_top_n_across_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(0, i) for i in (8, 18, 28, 38, 48, 58, 68)} | {(1, i) for i in (9, 19, 29, 39, 49, 59, 69)}
+
+
+def test_ranks_are_row_numbers_however_large_a_group(spark):
+    rng = random.Random(6)
+    rows = [(0 if rng.random() < 0.4 else rng.randint(1, 30), f"i{i}", float(rng.randint(0, 5))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g long, item string, f double").repartition(7)
+    got = {(r.g, r.item): r.rnk for r in fusion.ranked(df, "g", "f", "item").collect()}
+    want = {}
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1])), 1):
+            want[g, r[1]] = n
+    assert got == want
+    assert fusion.ranked(df.limit(0), "g", "f", "item").collect() == []
