@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from kgloom.scratch import Scratch
+
 
 def match_edges(edges: DataFrame, queries: DataFrame, keys: list[str]) -> DataFrame:
     """Every edge that agrees with a query in ``keys``: an equi-join on several columns."""
@@ -30,7 +32,30 @@ def strict_negatives(edges: DataFrame, queries: DataFrame, nodes: DataFrame) ->
     return all_.join(edges.select("src", "rel", "dst"), ["src", "rel", "dst"], "left_anti").select("src", "rel", "dst")
 
 
-def _corrupted(positives: DataFrame, edges: DataFrame, given: str, asked: str, n_nodes: int, per_edge: int, seed: int, tries: int) -> DataFrame:
+#: So many edges of a head (or tail) and relation at most are compared as one array; more, or such without either, by a join.
+LISTED = 4_096
+
+
+def _draw(t: int, n: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64("src", "rel", "dst", "slot", F.lit(t), F.lit(seed)), n)
+
+
+def _listed(edges: DataFrame, wanted: Column, given: str, asked: str, n_nodes: int, per_edge: int, seed: int, tries: int) -> DataFrame:
+    """(src, rel, dst, slot, neg) as :func:`_joined` has it, where groups are short: slots are made beside the array of their group, so that edges alone are shuffled."""
+    w = Window.partitionBy(given, "rel")
+    # Repeated edges stand beside each other; distinct() would shuffle by all columns first.
+    again = (F.row_number().over(w.orderBy(asked)) > 1) & F.col(asked).eqNullSafe(F.lag(asked).over(w.orderBy(asked)))
+    x = edges.withColumn("again", again).filter("not again").drop("again").withColumn("known", F.collect_list(asked).over(w))
+    inside = F.sort_array(F.filter("known", lambda v: v.between(0, n_nodes - 1)))
+    x = x.filter(wanted).filter((F.size("known") < n_nodes) | (F.size(inside) < n_nodes))
+    x = x.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1))))
+    draws = [_draw(t, F.lit(n_nodes), seed) for t in range(tries)]
+    r = _draw(tries, F.lit(n_nodes) - F.size(inside), seed)
+    exact = r + F.size(F.filter(inside, lambda v, i: v - i <= r))
+    return x.select("src", "rel", "dst", "slot", F.coalesce(*[F.when(~F.array_contains("known", d), d) for d in draws], exact).alias("neg"))
+
+
+def _joined(positives: DataFrame, edges: DataFrame, given: str, asked: str, n_nodes: int, per_edge: int, seed: int, tries: int) -> DataFrame:
     """(src, rel, dst, slot, neg): nodes that with ``given`` and rel make no edge, for each slot of ``positives``."""
     group, slot = [given, "rel"], ["src", "rel", "dst", "slot"]
     slots = F.explode(F.sequence(F.lit(0), F.lit(per_edge - 1))).alias("slot")
@@ -42,7 +67,7 @@ def _corrupted(positives: DataFrame, edges: DataFrame, given: str, asked: str, n
     missed = drawn.filter("neg is null").drop("neg")
     taken = true.filter(F.col("neg").between(0, n_nodes - 1)).join(missed.select(*group).distinct(), group, "left_semi")
     free = taken.groupBy(*group).agg((F.lit(n_nodes) - F.count("*")).alias("free")).filter("free > 0")
-    ranked = missed.join(free, group).withColumn("r", F.pmod(F.xxhash64(*slot, F.lit(tries), F.lit(seed)), F.col("free"))).withColumn("is_true", F.lit(0)).drop("free")
+    ranked = missed.join(free, group).withColumn("r", _draw(tries, F.col("free"), seed)).withColumn("is_true", F.lit(0)).drop("free")
     below = F.row_number().over(Window.partitionBy(*group).orderBy("neg")) - 1
     marks = taken.select(*group, (F.col("neg") - below).alias("r"), F.lit(1).alias("is_true"))
     before = F.sum("is_true").over(Window.partitionBy(*group).orderBy("r", F.desc("is_true")).rowsBetween(Window.unboundedPreceding, 0))
@@ -50,21 +75,36 @@ def _corrupted(positives: DataFrame, edges: DataFrame, given: str, asked: str, n
     return drawn.filter("neg is not null").unionByName(exact.select(*slot, "neg"))
 
 
+def _corrupted(edges: DataFrame, wanted: Column, given: str, asked: str, n_nodes: int, per_edge: int, seed: int, tries: int) -> DataFrame:
+    """(src, rel, dst, slot, neg): nodes that with ``given`` and rel make no edge, for each slot of the ``wanted`` edges."""
+    edges, how = edges.select("src", "rel", "dst"), (given, asked, n_nodes, per_edge, seed, tries)
+    g, r = F.col(given), F.col("rel")
+    long = edges.groupBy(given, "rel").agg(F.count("*").alias("n")).filter((F.col("n") > LISTED) | g.isNull() | r.isNull())
+    # Written, so that the planner knows how few there are and, if there are none, nothing is joined.
+    long = Scratch(edges.sparkSession, "negatives").cut(long.select(g.alias("long_given"), r.alias("long_rel")))
+    if long.isEmpty():
+        return _listed(edges, wanted, *how)
+    same = g.eqNullSafe(F.col("long_given")) & r.eqNullSafe(F.col("long_rel"))
+    many = edges.join(long, same, "left_semi").distinct()
+    return _listed(edges.join(long, same, "left_anti"), wanted, *how).unionByName(_joined(many.filter(wanted), many, *how))
+
+
 def sample_negatives(edges: DataFrame, n_nodes: int, per_edge: int, seed: int = 0, *, tries: int = 4, n_heads: int | None = None) -> DataFrame:
     """(src, rel, dst, slot, neg, head_side): ``per_edge`` corruptions of each edge, none a true edge, drawn by a seeded hash.
 
     Tails are 0..n_nodes-1. With ``n_heads``, heads are 0..n_heads-1, and for about half
     of the edges, chosen by a seeded hash, ``neg`` stands for the head (head_side). Each slot
     draws ``tries`` nodes and keeps the first that is not true, so no list of nodes is
-    joined; where all are true it takes a node of the complement by rank, which sorts the
-    true nodes of that group alone. Only where every node is true has a slot no row.
+    joined; where all are true it takes a node of the complement by rank. What is true is an
+    array beside the slots in groups of up to ``LISTED`` edges; larger groups join their
+    draws with their edges and sort, for the rank, the true nodes of a group in one task.
+    Only where every node is true has a slot no row.
     """
-    if n_heads is None:
-        return _corrupted(edges, edges, "src", "dst", n_nodes, per_edge, seed, tries).withColumn("head_side", F.lit(False))
     head = F.pmod(F.xxhash64("src", "rel", "dst", F.lit("side"), F.lit(seed)), F.lit(2)) == 1
-    t = _corrupted(edges.filter(~head), edges, "src", "dst", n_nodes, per_edge, seed, tries).withColumn("head_side", F.lit(False))
-    h = _corrupted(edges.filter(head), edges, "dst", "src", n_heads, per_edge, seed, tries).withColumn("head_side", F.lit(True))
-    return t.unionByName(h)
+    t = _corrupted(edges, F.lit(True) if n_heads is None else ~head, "src", "dst", n_nodes, per_edge, seed, tries).withColumn("head_side", F.lit(False))
+    if n_heads is None:
+        return t
+    return t.unionByName(_corrupted(edges, head, "dst", "src", n_heads, per_edge, seed, tries).withColumn("head_side", F.lit(True)))
 
 
 def tail_form(triples: DataFrame, n_relations: int, corrupted_head: str = "head_side") -> DataFrame:

@@ -296,7 +296,7 @@ def tail_form(spark, d):
 
 @query("negative_sample")
 def negative_sample(spark, d):
-    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit(3).cast("long").alias("rel"), F.col("l_partkey").alias("dst")).distinct()
+    p = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.lit(3).cast("long").alias("rel"), F.col("l_partkey").alias("dst"))
     return completion.sample_negatives(p, table(spark, d, "part").count(), 4, seed=1, n_heads=table(spark, d, "orders").count())
 
 

@@ -115,3 +115,35 @@ def test_inversion_of_a_long_name_is_found(spark):
     df = spark.createDataFrame(list(enumerate(typed)), "id long, v string")
     got = {r.id: r.entry for r in canonical.map_values(df, "id", "v", ref, "cui", "name").collect()}
     assert got == dict.fromkeys(range(len(typed)), "C1")
+
+
+def _shuffled(spark) -> int:
+    """Rows that all stages of the session so far wrote to shuffles."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_negatives_shuffle_edges_and_not_their_draws(spark):
+    from kgloom.operators import completion
+
+    n = 20_000
+    e = spark.range(n).selectExpr("id % 4000 as src", "3L as rel", "(id * 7) % 3001 as dst")
+    before = _shuffled(spark)
+    got = completion.sample_negatives(e, 3001, 4, seed=1, n_heads=4000).selectExpr("count(*) c").first().c
+    assert got == 4 * n
+    assert _shuffled(spark) - before < 5 * n  # by head and by tail, counted and listed; draws are 16 to an edge
+
+
+@pytest.mark.parametrize("listed", [0, 12])
+def test_negatives_by_lists_are_those_by_joins(spark, monkeypatch, listed):
+    from kgloom.operators import completion
+
+    e = [(s, r, t) for s in range(30) for r in (0, 1) for t in range(-2, 24) if (s * t + r) % (s % 5 + 2) or s in (3, 4)]
+    e = e + e[:50] + [(None, 0, 1), (None, 0, 2), (1, None, 3), (2, 0, None), (2, 0, None), (5, 1, None)]
+    E = spark.createDataFrame(e, "src long, rel long, dst long")
+    rows = lambda: sorted(map(repr, completion.sample_negatives(E, 22, 3, seed=7, n_heads=30).collect()))
+    lists = rows()
+    monkeypatch.setattr(completion, "LISTED", listed)
+    assert rows() == lists and len(set(lists)) == len(lists) > 0
