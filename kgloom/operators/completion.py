@@ -63,6 +63,7 @@ def _joined(positives: DataFrame, edges: DataFrame, given: str, asked: str, n_no
     x = x.withColumn("neg", F.pmod(F.xxhash64("src", "rel", "dst", "slot", "t", F.lit(seed)), F.lit(n_nodes)))
     true = edges.select(*group, F.col(asked).alias("neg")).distinct()
     drawn = x.join(true.withColumn("true", F.lit(True)), [*group, "neg"], "left").groupBy(*slot).agg(F.min_by("neg", F.when(F.col("true").isNull(), F.col("t"))).alias("neg"))
+    drawn = Scratch(edges.sparkSession, "negatives").cut(drawn)  # read twice below; the draws are shuffled once
     # Where all draws are true: the r-th node of the complement is r plus the true nodes t_0 < t_1 < ... with t_i - i <= r.
     missed = drawn.filter("neg is null").drop("neg")
     taken = true.filter(F.col("neg").between(0, n_nodes - 1)).join(missed.select(*group).distinct(), group, "left_semi")
